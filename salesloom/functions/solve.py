@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def solve_normal(xx: pd.Series, xy: pd.Series) -> pd.Series:
     """Minimum-norm solution of the normal equations ``XX b = xy``, one small system per row.
 

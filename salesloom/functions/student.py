@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -50,7 +51,7 @@ def incomplete_beta(a, b, x) -> np.ndarray:
     return np.where(swap, 1.0 - out, out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def corr_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """p-value of ``r`` over ``n`` points under Student's t with ``n - 2`` degrees of freedom."""
     out = pd.Series(np.nan, index=r.index, dtype=float)

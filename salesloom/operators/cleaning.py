@@ -108,10 +108,10 @@ def drop_missing(df: DataFrame, roles: Roles = SALES) -> DataFrame:
 
 
 def fill_median(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
-                accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
+                accuracy: int = MEDIAN_ACCURACY, groups: int | None = None) -> DataFrame:
     """Missing numbers become the group's exact median, or zero in a group without any number."""
-    stats = measure_profile(df, columns, by, accuracy)
-    wide = attach(df, stats, by, "_s", "rows")
+    stats = measure_profile(df, columns, by, accuracy, groups)
+    wide = attach(df, stats, by, "_s", "rows", groups)
     return wide.withColumns({
         c: F.coalesce(F.col(c), F.col(f"_s.{c}_median"), F.lit(0.0)) for c in columns
     }).drop("_s")
@@ -141,10 +141,10 @@ def join_on(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> D
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
-              default: str = fixed.UNKNOWN_TEXT) -> DataFrame:
+              default: str = fixed.UNKNOWN_TEXT, groups: int | None = None) -> DataFrame:
     """Missing texts become the group's most frequent value, or ``default``."""
     stats = with_modes(_group_sizes(df, by), modes(df, columns, by), by)
-    wide = attach(df, stats, by, "_s", "rows")
+    wide = attach(df, stats, by, "_s", "rows", groups)
     return wide.withColumns({
         c: F.coalesce(F.col(c), F.col(f"_s.{c}_mode"), F.lit(default)) for c in columns
     }).drop("_s")
@@ -174,12 +174,13 @@ def parse_fill(value, numeric: bool):
 
 
 def fill_custom(df: DataFrame, values: Mapping[str, object], roles: Roles = SALES,
-                by: Sequence[str] = ()) -> DataFrame:
+                by: Sequence[str] = (), groups: int | None = None) -> DataFrame:
     """Missing values become the user's values; columns without a usable one get median or mode."""
-    return _fill_custom(df, values, roles, by).drop("_fill")
+    return fill_custom_noted(df, values, roles, by, groups).drop("_fill")
 
 
-def _fill_custom(df: DataFrame, values: Mapping[str, object], roles: Roles, by: Sequence[str]) -> DataFrame:
+def fill_custom_noted(df: DataFrame, values: Mapping[str, object], roles: Roles, by: Sequence[str],
+                      groups: int | None = None) -> DataFrame:
     """As ``fill_custom``, keeping the fill values used as texts in the struct ``_fill``."""
     given = {c: parse_fill(values.get(c), c in roles.numeric) for c in roles.required}
     by_median = [c for c in roles.numeric if given[c] is None]
@@ -187,10 +188,10 @@ def _fill_custom(df: DataFrame, values: Mapping[str, object], roles: Roles, by:
     fill = {c: F.lit(v) for c, v in given.items() if v is not None}
     out = df
     if by_median or by_mode:
-        stats = measure_profile(df, by_median, by) if by_median else _group_sizes(df, by)
+        stats = measure_profile(df, by_median, by, groups=groups) if by_median else _group_sizes(df, by)
         if by_mode:
             stats = with_modes(stats, modes(df, by_mode, by), by)
-        out = attach(df, stats, by, "_s", "rows")
+        out = attach(df, stats, by, "_s", "rows", groups)
         fill |= {c: F.coalesce(F.col(f"_s.{c}_median"), F.lit(0.0)) for c in by_median}
         fill |= {c: F.coalesce(F.col(f"_s.{c}_mode"), F.lit(fixed.UNKNOWN_TEXT)) for c in by_mode}
     return (
@@ -209,12 +210,13 @@ def is_outlier(c: Column, rows: Column, mean: Column, var: Column) -> Column:
 
 
 def repair_zscore(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
-                  flag: bool = False, accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
+                  flag: bool = False, accuracy: int = MEDIAN_ACCURACY,
+                  groups: int | None = None) -> DataFrame:
     """Replace z-score outliers by the group median (taken including them), column by column.
 
     ``flag`` keeps a boolean ``{c}_outlier`` next to each repaired column.
     """
-    wide = attach(df, measure_profile(df, columns, by, accuracy), by, "_s", "rows")
+    wide = attach(df, measure_profile(df, columns, by, accuracy, groups), by, "_s", "rows", groups)
     hits = {
         c: is_outlier(F.col(c), F.col("_s.rows"), F.col(f"_s.{c}_avg"), F.col(f"_s.{c}_var"))
         for c in columns
@@ -235,9 +237,9 @@ def outside(c: Column, lo: float | None, hi: float | None) -> Column:
 
 
 def repair_range(df: DataFrame, column: str, lo: float | None, hi: float | None,
-                 by: Sequence[str] = (), flag: bool = False) -> DataFrame:
+                 by: Sequence[str] = (), flag: bool = False, groups: int | None = None) -> DataFrame:
     """Replace values outside the inclusive range by the group median (taken including them)."""
-    wide = attach(df, measure_profile(df, [column], by), by, "_s", "rows")
+    wide = attach(df, measure_profile(df, [column], by, groups=groups), by, "_s", "rows", groups)
     wide = wide.withColumn(f"{column}_outlier", outside(F.col(column), lo, hi)).withColumn(
         column, F.when(F.col(f"{column}_outlier"), F.col(f"_s.{column}_median")).otherwise(F.col(column))
     )

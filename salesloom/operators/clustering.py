@@ -117,13 +117,17 @@ def profile(assigned: DataFrame, roles: Roles = SALES, by: Sequence[str] = (), n
     )
 
 
-def farthest(assigned: DataFrame, roles: Roles = SALES, by: Sequence[str] = (), name: str = "cluster") -> DataFrame:
-    """The member of each cluster farthest from the cluster mean, in raw units."""
+def farthest(assigned: DataFrame, roles: Roles = SALES, by: Sequence[str] = (), name: str = "cluster",
+             groups: int | None = None) -> DataFrame:
+    """The member of each cluster farthest from the cluster mean, in raw units.
+
+    ``groups`` is the number of clusters where it is known (``k``).
+    """
     keys = [*by, name]
     means = assigned.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
     cols = assigned.select(*keys, roles.dim, roles.item, "x", "y")
-    wide = attach(cols, means, keys, "_c", "n")
+    wide = attach(cols, means, keys, "_c", "n", groups)
     # rounded far below its meaning, so equal members tie on every engine
     dist = numbers.rounded(numbers.euclid(F.col("x") - F.col("_c.mx"), F.col("y") - F.col("_c.my")), 6)
     order = [F.desc("distance"), F.asc(roles.dim), F.asc(roles.item), F.asc("x"), F.asc("y")]
@@ -171,5 +175,5 @@ def segment(df: DataFrame, k: int = 3, roles: Roles = SALES, seed: int = 42) ->
         clusters.withColumns({"centroid_price": F.col("_c.price"), "centroid_sales": F.col("_c.sales")}), "_c", [])
     summary = ranges(points(df, roles), roles).withColumns({
         "valid_rows": F.lit(found.valid_rows), "k": F.lit(k), "inertia": numbers.rounded(F.lit(found.inertia), 1)})
-    return Segments(found, clusters, members(assigned, roles), farthest(assigned, roles),
+    return Segments(found, clusters, members(assigned, roles), farthest(assigned, roles, groups=k),
                     category_counts(assigned, roles), summary)

@@ -14,6 +14,8 @@ from salesloom.session import cut_lineage
 # groups can, whatever the data, so the list of them is safe to broadcast.
 HOT_SHARE = 200
 SALTS = 4096
+# Per-group tables of at most this many rows (some tens of MB) may be broadcast whole.
+BROADCAST_GROUPS = 100_000
 # Spark keeps at most this many rows per group on the map side of a ranking window.
 GROUP_LIMIT = 1000
 MEDIAN_ACCURACY = 10_000
@@ -23,28 +25,42 @@ def _same_keys(by: Sequence[str], keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)])
 
 
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], name: str, weight: str) -> DataFrame:
+def count_groups(df: DataFrame, by: Sequence[str]) -> int:
+    """Number of groups, from a scan of the key columns alone (a sketch, good to a few percent)."""
+    key = F.xxhash64(*[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by])
+    return df.agg(F.approx_count_distinct(key)).first()[0] if by else 1
+
+
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], name: str, weight: str,
+           groups: int | None = None) -> DataFrame:
     """Add to every row the statistics of its group, packed into the struct column ``name``.
 
     ``stats`` has one row per group and ``weight`` is its column with the group's row count.
 
     * No keys: ``stats`` is one aggregate row and comes in as a scalar subquery, without a join.
-    * Keys: hot groups are served by a broadcast of their statistics (fewer than ``HOT_SHARE`` rows
-      by arithmetic); their rows are then spread over all partitions of the ordinary equi-join
-      that serves the other groups.  One pass over ``df`` and no partition that holds a hot group.
+    * Keys, and the caller knows there are at most ``BROADCAST_GROUPS`` groups (``groups``, for
+      example from ``count_groups``): the table is broadcast and the rows are not moved.
+    * Keys otherwise: hot groups are served by a broadcast of their statistics (fewer than
+      ``HOT_SHARE`` rows by arithmetic); their rows are then spread over all partitions of the
+      ordinary equi-join that serves the other groups.  One pass over ``df``, and no partition
+      holds a hot group.
     """
     packed = F.struct(*[F.col(c) for c in stats.columns if c not in by]).alias(name)
     if not by:
         return df.withColumn(name, stats.select(packed).scalar())
 
+    columns = df.columns
     keys = [f"_key{i}" for i in range(len(by))]
     side = stats.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], packed,
                         F.col(weight).alias("_weight"))
-    total = side.agg(F.sum("_weight").alias("_total")).scalar()
-    hot = side.filter(F.col("_weight") * HOT_SHARE > total).select(*keys, F.col(name).alias("_hot"))
-    cold = side.select(*keys, F.col(name).alias("_cold"), F.lit(0).alias("_slot0"))
+    if groups is not None and groups <= BROADCAST_GROUPS:
+        return df.join(F.broadcast(side), _same_keys(by, keys), "left").select(*columns, name)
 
-    columns = df.columns
+    # The hash only makes this use need every column of `stats`, as the other two do; then all
+    # three share one computation.
+    total = side.agg(F.struct(F.sum("_weight").alias("rows"), F.max(F.xxhash64(name)).alias("h"))).scalar()
+    hot = side.filter(F.col("_weight") * HOT_SHARE > total["rows"]).select(*keys, F.col(name).alias("_hot"))
+    cold = side.select(*keys, F.col(name).alias("_cold"), F.lit(0).alias("_slot0"))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(SALTS)).cast("int") + 1
     tagged = (
         df.join(F.broadcast(hot), _same_keys(by, keys), "left")
@@ -81,7 +97,7 @@ def clipped_median(c: Column, bracket: Column) -> Column:
 
 
 def measure_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
-                    accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
+                    accuracy: int = MEDIAN_ACCURACY, groups: int | None = None) -> DataFrame:
     """Per group: ``rows``, and for each column ``{c}_n``, ``{c}_avg``, ``{c}_var``, ``{c}_median``.
 
     Missing values are left out; the variance is the population variance; the median is exact.
@@ -93,7 +109,7 @@ def measure_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
         F.count(F.lit(1)).alias("rows"),
         *[median_bracket(F.col(c), accuracy).alias(c) for c in columns],
     )
-    ready = attach(narrow, brackets, by, "_bracket", "rows")
+    ready = attach(narrow, brackets, by, "_bracket", "rows", groups)
     return ready.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
         *[

@@ -66,12 +66,14 @@ def _prepared(df: DataFrame, roles: Roles, ignore: Sequence[str]) -> DataFrame:
 
 
 def auto_clean(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
-               ignore: Sequence[str] = ()) -> Cleaned:
+               ignore: Sequence[str] = (), groups: int | None = None) -> Cleaned:
     """Rename, coerce, de-duplicate, fill, repair outliers, normalise, drop invalid entities.
 
     The statistics after filling follow from those before it: adding ``k`` copies of the median
     keeps the median and moves mean and variance by a closed formula.  So filling and outlier
     repair need one round of statistics, not two.
+
+    ``groups`` is the number of groups where it is known; up to a bound it saves moving the rows.
     """
     by = list(by)
     columns_before = df.columns
@@ -80,8 +82,8 @@ def auto_clean(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
     texts = roles.text + ([roles.ts] if has_ts else [])
     data_columns = [c for c in folded.columns if c != C.COPIES]
 
-    stats = C.with_modes(measure_profile(folded, roles.numeric, by), modes(folded, texts, by), by)
-    wide = attach(folded, stats, by, "_num", "rows")
+    stats = C.with_modes(measure_profile(folded, roles.numeric, by, groups=groups), modes(folded, texts, by), by)
+    wide = attach(folded, stats, by, "_num", "rows", groups)
 
     size = F.col("_num.rows")
     flags, values, medians = {}, {}, {}
@@ -160,7 +162,7 @@ def _bound(ranges: Mapping, column: str) -> tuple[float | None, float | None]:
 
 
 def interactive_clean(df: DataFrame, config: Mapping, roles: Roles = SALES, by: Sequence[str] = (),
-                      ignore: Sequence[str] = ()) -> Cleaned:
+                      ignore: Sequence[str] = (), groups: int | None = None) -> Cleaned:
     """Cleaning by a user's choices.
 
     ``config`` may hold ``missing_action`` (``drop``, ``custom`` or ``default``), ``custom_fill``
@@ -179,7 +181,7 @@ def interactive_clean(df: DataFrame, config: Mapping, roles: Roles = SALES, by:
                                | {"_incomplete": C.any_missing(roles)})
     # missing values ------------------------------------------------------
     if action == "custom":
-        filled = C._fill_custom(start, custom, roles, by)
+        filled = C.fill_custom_noted(start, custom, roles, by, groups)
     elif action == "drop":
         filled = start.withColumn("_fill", F.lit(None).cast("struct<x:string>"))
     else:
@@ -193,7 +195,7 @@ def interactive_clean(df: DataFrame, config: Mapping, roles: Roles = SALES, by:
         kept = filled.withColumns({c: F.when(~F.col("_incomplete"), F.col(c)) for c in roles.numeric})
 
     # outliers ------------------------------------------------------------
-    wide = attach(filled, measure_profile(kept, roles.numeric, by), by, "_num", "rows")
+    wide = attach(filled, measure_profile(kept, roles.numeric, by, groups=groups), by, "_num", "rows", groups)
     hits, values = {}, {}
     for c in roles.numeric:
         lo, hi = _bound(ranges, c)
