@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom import fixed
@@ -24,11 +24,19 @@ def _xy(df: DataFrame, roles: Roles, by: Sequence[str]) -> DataFrame:
                        F.col(roles.qty).cast("double").alias("y"))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; null where a column is constant.
+
+    The built-in ``corr`` divides by zero there, which fails the job under ANSI rules.
+    """
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def linear_fit(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
     """Points, Pearson r, slope, intercept and r squared of volume on price, in one aggregate."""
     return _xy(df, roles, by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr("x", "y").alias("r"),
+        pearson("x", "y").alias("r"),
         F.regr_slope("y", "x").alias("slope"),
         F.regr_intercept("y", "x").alias("intercept"),
         F.regr_r2("y", "x").alias("r2"),
@@ -101,7 +109,7 @@ def by_category(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) ->
     keyed = df.withColumn(roles.cat, F.coalesce(roles.cat, F.lit(fixed.UNKNOWN_CATEGORY)))
     keys = [*by, roles.cat]
     stats = _xy(keyed, roles, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"),
+        F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("r"),
         F.avg("x").alias("mx"), F.avg("y").alias("my"),
     ).withColumn("p", _signed("r", "n"))
     enough = F.col("n") >= fixed.MIN_STRATUM
