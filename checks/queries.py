@@ -16,7 +16,7 @@ from salesloom.functions import dates, numbers, text
 from salesloom.operators import (
     aggregates, charts, cleaning, clustering, correlation, filters, narrative, ranking, regression, tenants,
 )
-from salesloom.operators.spread import attach, count_groups, measure_profile, running_start
+from salesloom.operators.spread import attach, count_groups, measure_profile
 from salesloom.plans import clean as jobs
 from salesloom.plans import upload as uploading
 from salesloom.roles import SALES
@@ -540,15 +540,8 @@ def stack_offsets(spark, d):
 @query
 def average_ranks(spark, d):
     """Distinct (price, volume) pairs with the average rank of both values."""
-    pairs = correlation._xy(b.vehicles(spark, d), SALES, []).groupBy("x", "y").agg(
-        F.count(F.lit(1)).alias("copies"))
-    out = pairs
-    for v in ("x", "y"):
-        values = pairs.groupBy(v).agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("w"))
-        ranks = running_start(values, [v], "c").select(
-            v, "w", (F.col("start") + (F.col("c") + 1) / 2).alias("rank"))
-        out = attach(out, ranks, [v], f"_{v}", "w").withColumn(f"rank_{v}", F.col(f"_{v}.rank")).drop(f"_{v}")
-    return out
+    return correlation.average_ranks(b.vehicles(spark, d)).select(
+        "x", "y", F.col("c").alias("copies"), F.col("rx").alias("rank_x"), F.col("ry").alias("rank_y"))
 
 
 @query

@@ -16,6 +16,7 @@ from salesloom.operators.cleaning import join_on
 from salesloom.operators.filters import scatter_rounded, valid_rows
 from salesloom.operators.spread import attach, running_start, top_per_group
 from salesloom.roles import SALES, Roles
+from salesloom.session import cut_lineage
 
 
 def _xy(df: DataFrame, roles: Roles, by: Sequence[str]) -> DataFrame:
@@ -43,16 +44,16 @@ def linear_fit(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> D
     )
 
 
-def spearman(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
-    """Spearman's rho: Pearson correlation of average ranks.
+def average_ranks(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct (x, y) pairs of the valid rows with their count ``c`` and the average rank of each value.
 
-    Rows are first folded to distinct (x, y) pairs with a count.  The average rank of a value is
-    the number of smaller rows plus (copies + 1) / 2, and the number of smaller rows is a prefix
-    sum over distinct values.  No window ever covers a whole group, and a value shared by very many
-    rows is one row here.
+    Tied values share the mean of their positions.  The average rank of a value is the number of
+    smaller rows plus (copies + 1) / 2, and the number of smaller rows is a prefix sum over distinct
+    values.  No window ever covers a whole group, and a value shared by very many rows is one row.
+    The pairs are written once, since ranks and sums read them several times.
     """
     by = list(by)
-    pairs = _xy(df, roles, by).groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    pairs = cut_lineage(_xy(df, roles, by).groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("c")))
     out = pairs
     for v in ("x", "y"):
         values = pairs.groupBy(*by, v).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("w"))
@@ -60,9 +61,19 @@ def spearman(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> Dat
             *by, v, "w", (F.col("start") + (F.col("c") + 1) / 2).alias("rank"))
         out = attach(out, ranks, by + [v], f"_{v}", "w")
         out = out.withColumn(f"r{v}", F.col(f"_{v}.rank")).drop(f"_{v}")
-    # ranks of n points average (n + 1) / 2, so the moments can be centred exactly
-    sizes = pairs.groupBy(*by).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("w"))
-    wide = attach(out, sizes, by, "_s", "w")
+    return out
+
+
+def spearman(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
+    """Spearman's rho: Pearson correlation of average ranks.
+
+    The ranks of n points average (n + 1) / 2 exactly, so with n known the moments are centred; with
+    the sums of raw ranks alone they would cancel at this size.
+    """
+    by = list(by)
+    ranked = average_ranks(df, roles, by)
+    sizes = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("w"))
+    wide = attach(ranked, sizes, by, "_s", "w")
     mid = (F.col("_s.n") + 1) / 2
     dx, dy, c = F.col("rx") - mid, F.col("ry") - mid, F.col("c")
     return wide.groupBy(*by).agg(

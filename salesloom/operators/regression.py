@@ -176,7 +176,8 @@ def _folded_cells(df: DataFrame, roles: Roles, by: Sequence[str], folds: int) ->
     order = [roles.dim, roles.item, "price", "y", "is_electric", "is_hybrid"]
     cells = rows.groupBy(*by, *order).agg(F.count(F.lit(1)).alias("c"))
     placed = running_start(cells, order, "c", by)
-    sizes = cells.groupBy(*by).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("w"))
+    # from the placed cells, which start at a checkpoint, not from the source again
+    sizes = placed.groupBy(*by).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("w"))
     wide = attach(placed, sizes, by, "_z", "w")
     n = F.col("_z.n")
     k = F.least(F.lit(folds), n)

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # plans here have hundreds of column expressions; noting the call site of each one costs seconds
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
