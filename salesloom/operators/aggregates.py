@@ -17,7 +17,7 @@ from salesloom.functions import bins as B
 from salesloom.functions import numbers, text
 from salesloom.operators.cleaning import join_on
 from salesloom.operators.filters import revenue
-from salesloom.operators.spread import attach
+from salesloom.operators.spread import attach, shared
 from salesloom.roles import SALES, Roles
 
 
@@ -46,7 +46,7 @@ def overview(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
     without rows get a row of zeros and dashes.
     """
     by = list(by)
-    level = entity_level(df, roles, by)
+    level = shared(entity_level(df, roles, by))
     dim, item = F.col(roles.dim), F.col(roles.item)
     main = level.groupBy(*by).agg(
         F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("total_rows"),
@@ -193,6 +193,7 @@ def pivot_by_category(df: DataFrame, categories: Sequence[str] = tuple(fixed.CAT
 def dim_share(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
     """Volume of each entity group and its share of the total in percent."""
     sums = df.groupBy(*by, roles.dim).agg(F.sum(roles.qty).alias("total_sales"), F.count(F.lit(1)).alias("_n"))
+    sums = shared(sums)
     totals = sums.groupBy(*by).agg(F.sum("total_sales").alias("all"), F.count(F.lit(1)).alias("n"))
     wide = attach(sums, totals, by, "_t", "n")
     return wide.select(*by, roles.dim, "total_sales",
@@ -229,8 +230,8 @@ def summary_snapshot(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ("
     Entity groups and categories are reduced to their distinct values before they are listed.
     """
     by = list(by)
-    cells = df.groupBy(*by, roles.dim, roles.cat).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(roles.price).alias("p"), F.count(roles.price).alias("pn"))
+    cells = shared(df.groupBy(*by, roles.dim, roles.cat).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(roles.price).alias("p"), F.count(roles.price).alias("pn")))
     main = cells.groupBy(*by).agg(
         F.sum("rows").alias("record_count"),
         F.countDistinct(roles.dim).alias("brand_count"),

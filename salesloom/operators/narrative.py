@@ -11,7 +11,7 @@ from salesloom import fixed
 from salesloom.functions import numbers
 from salesloom.operators import aggregates
 from salesloom.operators.cleaning import join_on
-from salesloom.operators.spread import top_per_group
+from salesloom.operators.spread import shared, top_per_group
 from salesloom.roles import SALES, Roles
 
 # --- fixed values: wording of the report
@@ -68,7 +68,9 @@ def report(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ("user_id",)
     """Report text per group.  With ``tenants``, groups without rows get an error text instead."""
     by = list(by)
     head = aggregates.overview(df, roles, by)
-    sums = df.groupBy(*by, roles.dim).agg(F.sum(roles.qty).alias("v"))
+    # the same entity level as in the overview, so it is computed once
+    level = shared(aggregates.entity_level(df, roles, by))
+    sums = level.groupBy(*by, roles.dim).agg(F.sum("volume").alias("v"))
     first = top_per_group(sums, by, [F.desc("v"), F.asc(roles.dim)], leaders)
     # at most `leaders` entries per group
     entry = F.struct("rank", F.concat(F.col(roles.dim), F.lit("("), F.col("v").cast("bigint").cast("string"),

@@ -69,7 +69,7 @@ def _moment_sums(weight: Column) -> list[Column]:
 MOMENTS = ["m", "s0", "s1", "s2", "st", "stt", *[f"s{i}{j}" for i, j in _pairs()], "s0t", "s1t", "s2t"]
 
 
-def _normal(prefix: str = "") -> tuple[Column, Column]:
+def _normal(prefix: str) -> tuple[Column, Column]:
     """Centred moment matrix (flattened) and vector from the sums with the given name prefix."""
     s = lambda k: F.col(prefix + k)
     xx = lambda i, j: s(f"s{min(i, j)}{max(i, j)}") - s(f"s{i}") * s(f"s{j}") / s("m")
@@ -80,46 +80,40 @@ def _normal(prefix: str = "") -> tuple[Column, Column]:
     )
 
 
-def _standardised(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    stats = scaling(rows, by, FEATURES + ["y"])
-    wide = attach(rows, stats, by, "_s", "n")
-    return wide.withColumns(
-        {f"z{i}": scaled(c, "_s") for i, c in enumerate(FEATURES)}
-        | {"t": F.col("y") - F.col("_s.y_mean")}
-    )
-
-
 def _fit(df: DataFrame, roles: Roles, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Standardised rows, and one row per group with scaling, sums and coefficients."""
+    """Feature rows, and one row per group with scaling, sums of squares and coefficients.
+
+    One aggregate gives means, deviations and all covariances; dividing these by the deviations
+    gives the moments of the standardised features, so the rows are not visited a second time.
+    """
     by = list(by)
     rows = features(df, roles, by)
-    ready = _standardised(rows, by)
-    scale = [f"{c}_{k}" for c in FEATURES + ["y"] for k in ("mean", "std")]
-    sums = ready.groupBy(*by).agg(
-        *_moment_sums(F.lit(1.0)),
+    names = FEATURES + ["y"]
+    sums = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.max(f"_s.{s}").alias(s) for s in scale],
+        *[F.avg(c).alias(f"{c}_mean") for c in names],
+        *[F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0).alias(f"{c}_std") for c in names],
+        *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i, j in _pairs()],
+        *[F.covar_pop(c, "y").alias(f"c{i}y") for i, c in enumerate(FEATURES)],
+        F.var_pop("y").alias("cyy"),
     )
-    xx, xy = _normal()
-    enough = F.col("n") >= fixed.MIN_POINTS
-    solved = sums.filter(enough).withColumn("_b", solve_normal(xx, xy))
-    coef = {f"coef_{c}": F.col("_b")[i] for i, c in enumerate(FEATURES)}
-    raw = {f"raw_{c}": F.col("_b")[i] / F.col(f"{c}_std") for i, c in enumerate(FEATURES)}
-    shift = F.lit(0.0)
-    for i, c in enumerate(FEATURES):
-        shift = shift + F.col("_b")[i] / F.col(f"{c}_std") * F.col(f"{c}_mean")
-    # residual sum of squares of the fit: t'W t - b' xy
-    explained = sum((F.col("_b")[i] * F.col(f"s{i}t") for i in range(3)), F.lit(0.0))
-    wide = solved.withColumns(
-        coef | raw | {
-            "intercept": F.col("y_mean"),
-            "raw_intercept": F.col("y_mean") - shift,
-            "sse": F.greatest(F.lit(0.0), F.col("stt") - explained),
-            "sst": F.col("stt"),
-        }
-    )
-    keep = [*by, "n", "intercept", *coef, "raw_intercept", *raw, "sse", "sst", *scale]
-    return ready, wide.select(*keep)
+    std = [F.col(f"{c}_std") for c in FEATURES]
+    xx = F.array(*[F.col(f"c{min(i, j)}{max(i, j)}") / (std[i] * std[j]) for i in range(3) for j in range(3)])
+    xy = [F.col(f"c{i}y") / std[i] for i in range(3)]
+    solved = sums.filter(F.col("n") >= fixed.MIN_POINTS).withColumn("_b", solve_normal(xx, F.array(*xy)))
+    beta = [F.col("_b")[i] for i in range(3)]
+    coef = {f"coef_{c}": beta[i] for i, c in enumerate(FEATURES)}
+    raw = {f"raw_{c}": beta[i] / std[i] for i, c in enumerate(FEATURES)}
+    shift = sum((beta[i] / std[i] * F.col(f"{c}_mean") for i, c in enumerate(FEATURES)), F.lit(0.0))
+    explained = sum((beta[i] * xy[i] for i in range(3)), F.lit(0.0))
+    wide = solved.withColumns(coef | raw | {
+        "intercept": F.col("y_mean"),
+        "raw_intercept": F.col("y_mean") - shift,
+        "sse": F.col("n") * F.greatest(F.lit(0.0), F.col("cyy") - explained),
+        "sst": F.col("n") * F.col("cyy"),
+    })
+    scale = [f"{c}_{k}" for c in names for k in ("mean", "std")]
+    return rows, wide.select(*by, "n", "intercept", *coef, "raw_intercept", *raw, "sse", "sst", *scale)
 
 
 def fit(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:

@@ -25,6 +25,16 @@ def _same_keys(by: Sequence[str], keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)])
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Mark a table that one query reads several times.
+
+    Spark runs equal parts of a plan once, but column pruning makes the uses of a table unequal
+    first.  The condition is true for every row and needs every column, so all uses stay equal and
+    share one scan and one shuffle.
+    """
+    return df.filter(F.hash(*[F.col(c) for c in df.columns]) >= F.lit(-(2 ** 31)))
+
+
 def count_groups(df: DataFrame, by: Sequence[str]) -> int:
     """Number of groups, from a scan of the key columns alone (a sketch, good to a few percent)."""
     key = F.xxhash64(*[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by])
@@ -56,10 +66,9 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], name: str, weight
     if groups is not None and groups <= BROADCAST_GROUPS:
         return df.join(F.broadcast(side), _same_keys(by, keys), "left").select(*columns, name)
 
-    # The hash only makes this use need every column of `stats`, as the other two do; then all
-    # three share one computation.
-    total = side.agg(F.struct(F.sum("_weight").alias("rows"), F.max(F.xxhash64(name)).alias("h"))).scalar()
-    hot = side.filter(F.col("_weight") * HOT_SHARE > total["rows"]).select(*keys, F.col(name).alias("_hot"))
+    side = shared(side)
+    total = side.agg(F.sum("_weight").alias("_total")).scalar()
+    hot = side.filter(F.col("_weight") * HOT_SHARE > total).select(*keys, F.col(name).alias("_hot"))
     cold = side.select(*keys, F.col(name).alias("_cold"), F.lit(0).alias("_slot0"))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(SALTS)).cast("int") + 1
     tagged = (
