@@ -7,7 +7,7 @@ over the same flagged rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,9 @@ from salesloom.operators.spread import attach, measure_profile, modes
 from salesloom.roles import SALES, Roles
 
 
+Stage = Callable[[DataFrame], DataFrame]
+
+
 class Cleaned(NamedTuple):
     rows: DataFrame
     report: DataFrame
@@ -66,7 +69,7 @@ def _prepared(df: DataFrame, roles: Roles, ignore: Sequence[str]) -> DataFrame:
 
 
 def auto_clean(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
-               ignore: Sequence[str] = (), groups: int | None = None) -> Cleaned:
+               ignore: Sequence[str] = (), groups: int | None = None, stage: Stage | None = None) -> Cleaned:
     """Rename, coerce, de-duplicate, fill, repair outliers, normalise, drop invalid entities.
 
     The statistics after filling follow from those before it: adding ``k`` copies of the median
@@ -74,6 +77,8 @@ def auto_clean(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
     repair need one round of statistics, not two.
 
     ``groups`` is the number of groups where it is known; up to a bound it saves moving the rows.
+    ``stage`` (such as ``session.staged``) keeps the repaired rows with their flags in a table, for
+    callers that use both results in separate jobs.
     """
     by = list(by)
     columns_before = df.columns
@@ -113,7 +118,10 @@ def auto_clean(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
         wide.withColumns(flags)
         .withColumns(values | {f"_median_{c}": m for c, m in medians.items()})
         .withColumn("_invalid", C.is_invalid_entity(roles))
+        .drop("_num")
     )
+    if stage:
+        flagged = stage(flagged)
     rows = flagged.filter(_after_fold(~F.col("_invalid"))).select(*data_columns)
 
     # report --------------------------------------------------------------

@@ -53,6 +53,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/salesloom/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a Parquet table below the shared folder and go on from there.
+
+    For a table that several jobs read: the work before it is done once, and later readers take
+    only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and go on from there.
 
