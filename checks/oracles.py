@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from checks.bindings import RAW_SPELLING
 from salesloom import fixed
+from salesloom.operators import narrative
 
 
 def rnd(expr: str, digits: int = 0) -> str:
@@ -243,6 +244,34 @@ STRENGTH = """CASE WHEN abs(r) >= 0.8 THEN concat('强', s) WHEN abs(r) >= 0.5 T
   WHEN abs(r) >= 0.3 THEN concat('弱', s) ELSE '几乎无线性相关' END"""
 
 
+def _report() -> str:
+    """Report text of every customer, by replacing the named places of the wording."""
+    fields = {
+        "total": "total_rows", "dims": "dim_count", "top_car": "top_volume_name", "top_item": "top_item_by_rows",
+        "top_dim": "top_dim_by_rows", "leaders": "leaders", "prices": "prices", "avg_price": "avg_price",
+        "oil": "oil_ratio", "electric": "electric_ratio", "hybrid": "hybrid_ratio", "trend": "trend", "advice": "advice",
+    }
+    text = f"'{narrative.REPORT}'"
+    for name, column in fields.items():
+        text = f"replace({text}, '{{{name}}}', CAST({column} AS VARCHAR))"
+    share = rnd("electric_ratio + hybrid_ratio", 1)
+    return f"""WITH {VEHICLES}, h AS ({overview('user_id')}), s AS (
+  SELECT user_id, brand, sum(sales_volume) AS v,
+         row_number() OVER (PARTITION BY user_id ORDER BY sum(sales_volume) DESC, brand) AS k
+  FROM vehicles GROUP BY 1, 2), l AS (
+  SELECT user_id, string_agg(concat(brand, '(', v, '辆)'), ', ' ORDER BY k) AS leaders FROM s WHERE k <= 5 GROUP BY 1),
+  b AS ({histogram('user_id')}), p AS (
+  SELECT user_id, string_agg(concat(label, '(', "rows", '款)'), ', ' ORDER BY bin) AS prices FROM b WHERE "rows" > 0
+  GROUP BY 1), t AS (
+  SELECT *, CASE WHEN {share} > {narrative.TREND_LIMIT}
+      THEN replace('{narrative.TREND_ELECTRIC}', '{{pct}}', CAST({share} AS VARCHAR)) ELSE '{narrative.TREND_FUEL}' END AS trend,
+    CASE WHEN {share} < {narrative.ADVICE_LIMIT} THEN '{narrative.ADVICE_EARLY}' ELSE '{narrative.ADVICE_LATE}' END AS advice
+  FROM h JOIN l USING (user_id) JOIN p USING (user_id))
+SELECT c_custkey AS user_id, total_rows IS NOT NULL AS success,
+       CASE WHEN total_rows IS NULL THEN '{fixed.MSG_UPLOAD_FIRST}' END AS message, {text} AS report
+FROM customer LEFT JOIN t ON c_custkey = t.user_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     oil, electric, hybrid = shares()
@@ -609,6 +638,7 @@ def oracle_sql() -> dict[str, str]:
       row_number() OVER (PARTITION BY user_id ORDER BY sum(sales_volume) DESC, brand) AS k FROM vehicles GROUP BY 1, 2)
       SELECT user_id, concat('[', string_agg(concat('{{"brand":"', brand, '","sales":', v, '}}'), ',' ORDER BY k), ']')
       AS brand_sales FROM s WHERE k <= 10 GROUP BY 1"""
+    o["narrative_report"] = _report()
     # ------------------------------------------------------------ batches on files
     o["batch_read_back"] = f"""WITH {VEHICLES} SELECT upload_id, brand, model, sales_volume, sales_price, energy_type FROM vehicles"""
     o["batch_log"] = f"""WITH {UPLOADS} SELECT upload_id, user_id, filename,
