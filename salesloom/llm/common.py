@@ -55,3 +55,11 @@ def attach_by_key(df: DataFrame, table: DataFrame, key: str, weight: str) -> Dat
     joined = tagged.withColumn("_digest", F.coalesce(spread, "_digest")).join(cold, "_digest", "left")
     found = F.coalesce("_hot", "_cold")
     return joined.select(*df.columns, *[found[c].alias(c) for c in names])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

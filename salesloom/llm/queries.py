@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salesloom.llm import packing
+from salesloom.llm import decontamination, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def _id_digest(ids: Column) -> Column:
+    """Digest of the ids, sorted as strings and joined by commas."""
+    return F.sha2(F.concat_ws(",", F.array_sort(F.transform(ids, lambda i: i.cast("string")))), 256)
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.annotate(docs, _table(spark, sf_dir, "benchmark"), "found")
+    return found.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
+        _id_digest(F.col("found.items")).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
