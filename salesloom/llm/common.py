@@ -1,15 +1,20 @@
-"""Helpers that several operators of this package share."""
+"""Helpers that several operators of this package share.
+
+The separators ``[\\x20\\x09-\\x0D]`` are exactly what ``bytes.split()`` splits on, and
+``bytes.lower()`` lower-cases A-Z alone, so word operators work on UTF-8 bytes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The separators ``[\\x20\\x09-\\x0D]`` are exactly what ``bytes.split()`` splits on, and
-#: ``bytes.lower()`` lower-cases A-Z alone.  Word operators therefore work on UTF-8 bytes.
+#: Keys with more than one row in HOT_SHARE get their own treatment; fewer than HOT_SHARE can.
 HOT_SHARE = 200
 
 
@@ -63,3 +68,54 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+class WordTable(dict):
+    """Numbers words in order of appearance; ``values[number]`` is a 64-bit hash of the word.
+
+    One per task.  ``numbers`` starts it anew beyond ``limit`` words, so that it stays bounded.
+    """
+
+    def __init__(self, limit: int = 500_000):
+        self.limit = limit
+        self.values = np.zeros(1024, "uint64")
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        if number == len(self.values):
+            self.values = np.concatenate([self.values, np.zeros(number, "uint64")])
+        self.values[number] = xxhash.xxh3_64_intdigest(word)
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), "int64", len(words))
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        numbers = self.numbers(words)
+        return self.values[numbers]
+
+
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit hashes with all bits stirred (xor-shift and multiply)."""
+    values = values ^ (values >> np.uint64(32))
+    values = values * _MIX[1]
+    values = values ^ (values >> np.uint64(29))
+    values = values * _MIX[2]
+    return values ^ (values >> np.uint64(32))
+
+
+def shingle_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct hashes of all runs of ``size`` words; fewer words are one run, none none."""
+    if not len(values):
+        return values
+    size = min(size, len(values))
+    count = len(values) - size + 1
+    run = np.full(count, size, "uint64")
+    for k in range(size):
+        run = mixed(run * _MIX[0] + values[k:k + count])
+    return np.unique(run)
