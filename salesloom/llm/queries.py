@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import decontamination, minhash, packing
+from salesloom.llm import decontamination, minhash, packing, quality, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc_id", "measures.*", "base_failed", "kept", "host_verdict", "host_rate")
+
+
 def _id_digest(ids: Column) -> Column:
     """Digest of the ids, sorted as strings and joined by commas."""
     return F.sha2(F.concat_ws(",", F.array_sort(F.transform(ids, lambda i: i.cast("string")))), 256)
@@ -32,6 +37,14 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         _id_digest(F.col("found.items")).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, machine)
+    return scored.select("doc_id", (~quality.in_training(F.col("doc_id"))).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = minhash.link(_table(spark, sf_dir, "documents"), size=3, percent=85)
     return linked.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -39,7 +52,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_host_quality_rules": op2_host_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
