@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import chat, decontamination, minhash, packing, quality, rules, urls
+from salesloom.llm import chat, decontamination, minhash, packing, passages, quality, rules, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.find_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), "found")
+    return found.select("doc_id", "found.n_bytes", "found.n_removed", F.size("found.spans").cast("long").alias("n_spans"),
+                        F.sha2("found.kept", 256).alias("kept_sha256"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES) + " AS r(host, path, verdict)")
     judged = urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_quality_rules": op2_host_quality_rules,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_passage_dedup": op7_passage_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
