@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import chat, decontamination, minhash, packing, passages, quality, rules, urls
+from salesloom.llm import chat, decontamination, html_text, minhash, packing, passages, quality, rules, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def _id_digest(ids: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.array_sort(F.transform(ids, lambda i: i.cast("string")))), 256)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.annotate(docs, _table(spark, sf_dir, "benchmark"), "found")
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_host_quality_rules": op2_host_quality_rules,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_html_extraction": op5_html_extraction,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_passage_dedup": op7_passage_dedup,
     "op8_url_filters": op8_url_filters,
