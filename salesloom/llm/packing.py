@@ -18,6 +18,8 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,38 +32,74 @@ from salesloom.session import staged
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: Word pieces kept per task; beyond it the memory starts anew.
-REMEMBERED_WORDS = 400_000
+#: Words remembered per Python process; beyond it the memory starts anew.
+REMEMBERED_WORDS = 500_000
+#: Punctuation that stands apart from the letters before it.
+CLOSING = ".,;:!?*#$%&|"
 ROWS_PER_CELL = 25_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def encoder(path: str):
-    """Function from UTF-8 bytes to the ids of the text as little-endian 32-bit numbers.
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python process; later tasks go on with the words it has met."""
+    return Encoder(path)
+
+
+class Encoder:
+    """From texts as UTF-8 bytes to their ids as little-endian 32-bit numbers.
 
     The tokenizer drops white space before anything else, so the ids of a text are those of its
-    parts between ASCII white space, and a part seen before needs no second encoding.
+    parts between ASCII white space.  A part made of letters and closing punctuation falls into
+    these two before the merges; runs of letters are encoded many at once and told apart by the
+    tokens that end a word.  Whatever has been met before needs no second encoding.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
-
-    def encode(text: bytes) -> bytes:
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        # folding could make special tokens, so texts that may hold one are left as they are
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words.clear()
+        new = list(set(chain.from_iterable(split)).difference(self.words))
         if new:
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            ids = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in ids)))
-        return b"".join(map(known.__getitem__, words))
-
-    return encode
+            self._learn(new)
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+    def _learn(self, new: list[bytes]) -> None:
+        split = []
+        for word in new:
+            whole = word.decode("utf-8", "replace")
+            letters = whole.rstrip(CLOSING)
+            split.append((letters, whole[len(letters):]) if letters.isalpha() else (whole, ""))
+        if len(self.parts) > 2 * REMEMBERED_WORDS:
+            self.parts.clear()
+        missing = {p for pair in split for p in pair if p not in self.parts}
+        letters = [p for p in missing if p.isalpha()]
+        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(letters):
+            raw, begin = ids.tobytes(), 0
+            for part, end in zip(letters, ends.tolist()):
+                self.parts[part] = raw[4 * begin:4 * end]
+                begin = end
+            missing.difference_update(letters)
+        rest = list(missing)
+        for part, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+            self.parts[part] = np.array(found.ids, "<u4").tobytes()
+        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in zip(new, split))
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
@@ -74,8 +112,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                             ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in rows_in(batches):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(encode(text) + closing)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                ids = memoryview(ids + closing)
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -47,7 +47,7 @@ def test_plan_uses_few_sequences():
     "don 't", "a b\tc\r\nd\x0be"])
 def test_ids_equal_those_of_the_whole_text(text):
     whole = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(packing.encoder(PATH)(text.encode()), "<u4").tolist() == whole
+    assert np.frombuffer(packing.encoder(PATH)([text.encode()])[0], "<u4").tolist() == whole
 
 
 def test_pack_whole_table(spark):
@@ -78,3 +78,10 @@ def test_pack_empty_table(spark):
     out = packing.pack(spark.createDataFrame([], SCHEMA), PATH)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() == 0
+
+
+def test_ids_of_given_documents(spark):
+    whole, encode = Tokenizer.from_file(PATH), packing.encoder(PATH)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for text, ids in zip(texts, encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
