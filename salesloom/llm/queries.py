@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import chat, decontamination, html_text, minhash, packing, passages, quality, rules, urls
+from salesloom.llm import chat, decontamination, html_text, language, minhash, packing, passages, quality, rules, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "measures.*", "base_failed", "kept", "host_verdict", "host_rate")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "</s>[INST] ok [/INST]"
@@ -86,6 +90,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_host_quality_rules": op2_host_quality_rules,
+    "op3_language_model": op3_language_model,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_html_extraction": op5_html_extraction,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
