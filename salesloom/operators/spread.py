@@ -5,19 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salesloom.session import cut_lineage
 
-# Groups holding more than 1/HOT_SHARE of all rows get their own treatment.  Fewer than HOT_SHARE
-# groups can, whatever the data, so the list of them is safe to broadcast.
+# Groups holding more than 1/HOT_SHARE of all rows get their own treatment (with many partitions,
+# smaller ones too).  Fewer than HOT_SHARE groups can, so the list of them is safe to broadcast.
 HOT_SHARE = 200
 SALTS = 4096
 # Per-group tables of at most this many rows (some tens of MB) may be broadcast whole.
 BROADCAST_GROUPS = 100_000
-# Spark keeps at most this many rows per group on the map side of a ranking window.
-GROUP_LIMIT = 1000
+# Up to this many rows per group, unless set otherwise, Spark cuts groups on the map side of a ranking window.
+GROUP_LIMIT_SETTING, GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold", "1000"
 MEDIAN_ACCURACY = 10_000
 
 
@@ -35,6 +35,19 @@ def shared(df: DataFrame) -> DataFrame:
     return df.filter(F.hash(*[F.col(c) for c in df.columns]) >= F.lit(-(2 ** 31)))
 
 
+def partitions_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def row_salt(df: DataFrame, salts: int) -> Column:
+    """Spreads rows over ``salts`` numbers, equal rows as well.
+
+    The number of the task that holds a row goes in, which a repeated task has again, so rows fall
+    the same way when work is lost and done anew.
+    """
+    return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id()), F.lit(salts)).cast("int")
+
+
 def count_groups(df: DataFrame, by: Sequence[str]) -> int:
     """Number of groups, from a scan of the key columns alone (a sketch, good to a few percent)."""
     key = F.xxhash64(*[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by])
@@ -50,10 +63,10 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], name: str, weight
     * No keys: ``stats`` is one aggregate row and comes in as a scalar subquery, without a join.
     * Keys, and the caller knows there are at most ``BROADCAST_GROUPS`` groups (``groups``, for
       example from ``count_groups``): the table is broadcast and the rows are not moved.
-    * Keys otherwise: hot groups are served by a broadcast of their statistics (fewer than
-      ``HOT_SHARE`` rows by arithmetic); their rows are then spread over all partitions of the
-      ordinary equi-join that serves the other groups.  One pass over ``df``, and no partition
-      holds a hot group.
+    * Keys otherwise: groups with more rows than half a partition's share are served by a broadcast
+      of their statistics (by arithmetic at most twice as many as there are partitions); their rows
+      are then spread over all partitions of the ordinary equi-join that serves the other groups.
+      One pass over ``df``, and no partition holds a hot group.
     """
     packed = F.struct(*[F.col(c) for c in stats.columns if c not in by]).alias(name)
     if not by:
@@ -68,9 +81,10 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], name: str, weight
 
     side = shared(side)
     total = side.agg(F.sum("_weight").alias("_total")).scalar()
-    hot = side.filter(F.col("_weight") * HOT_SHARE > total).select(*keys, F.col(name).alias("_hot"))
+    share = max(HOT_SHARE, 2 * partitions_of(df.sparkSession))
+    hot = side.filter(F.col("_weight") * share > total).select(*keys, F.col(name).alias("_hot"))
     cold = side.select(*keys, F.col(name).alias("_cold"), F.lit(0).alias("_slot0"))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(SALTS)).cast("int") + 1
+    salt = row_salt(df, SALTS) + 1
     tagged = (
         df.join(F.broadcast(hot), _same_keys(by, keys), "left")
         .drop(*keys)
@@ -161,19 +175,18 @@ def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Data
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int,
                   rank: str = "rank") -> DataFrame:
-    """The first ``n`` rows of every group, numbered; ``n <= 0`` keeps all rows, sorted, unnumbered.
+    """The first ``n`` rows of every group, numbered; ``n <= 0`` keeps all rows, sorted, with null numbers.
 
-    Up to ``GROUP_LIMIT`` Spark already cuts each group to ``n`` rows before the shuffle.  Beyond
-    that a first round over salted groups does it, so a hot group never meets whole in one task.
+    Where Spark does not cut each group to ``n`` rows before the shuffle, a first round over salted
+    groups does it, so a hot group never meets whole in one task.
     """
     by, order = list(by), list(order)
     if n <= 0:
-        return df.orderBy(*by, *order)
-    if n > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(64))
+        return df.orderBy(*by, *order).withColumn(rank, F.lit(None).cast("int"))
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING, str(GROUP_LIMIT))):
         first = Window.partitionBy(*by, "_salt").orderBy(*order)
         df = (
-            df.withColumn("_salt", salt)
+            df.withColumn("_salt", row_salt(df, partitions_of(df.sparkSession)))
             .withColumn("_first", F.row_number().over(first))
             .filter(F.col("_first") <= n)
             .drop("_salt", "_first")
@@ -194,7 +207,7 @@ def running_start(cells: DataFrame, order: Sequence[str], weight: str, by: Seque
     by, order = list(by), list(order)
     spark = cells.sparkSession
     if partitions is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = partitions_of(spark)
     ranged = cut_lineage(
         cells.repartitionByRange(partitions, *by, *order).withColumn("_range", F.spark_partition_id())
     )

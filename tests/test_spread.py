@@ -72,12 +72,13 @@ def test_modes_take_smallest_of_ties(spark):
 
 
 @pytest.mark.parametrize("n", [2, 5])
-def test_top_per_group(skewed, n, monkeypatch):
+def test_top_per_group(skewed, n):
     rows, df = skewed
     order = [F.desc("v"), F.asc("w")]
     plain = spread.top_per_group(df, ["g"], order, n).select("g", "v", "rank").collect()
-    monkeypatch.setattr(spread, "GROUP_LIMIT", 1)
+    df.sparkSession.conf.set(spread.GROUP_LIMIT_SETTING, "1")
     salted = spread.top_per_group(df, ["g"], order, n).select("g", "v", "rank").collect()
+    df.sparkSession.conf.unset(spread.GROUP_LIMIT_SETTING)
     key = lambda r: (str(r["g"]), r["rank"])
     assert sorted(map(tuple, plain), key=str) == sorted(map(tuple, salted), key=str)
     best = {g: sorted((v for v in vs if v is not None), reverse=True)[:n] for g, vs in groups_of(rows).items()}
@@ -101,3 +102,22 @@ def test_running_start(skewed, by):
         assert r["start"] == seen.get(k, 0)
         seen[k] = seen.get(k, 0) + r["w"]
     assert len(got) == cells.count()
+
+
+def test_equal_rows_of_a_hot_group_are_spread(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(0, 200_000, 1, 16).select(F.lit("hot").alias("g"), F.lit(1.0).alias("v"))
+        stats = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"))
+        out = spread.attach(rows, stats, ["g"], "s", "n").withColumn("p", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("p").count().collect()]
+        assert sum(sizes) == 200_000 and len(sizes) > 1 and max(sizes) < 150_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_top_per_group_has_the_same_columns_for_every_n(spark):
+    df = spark.createDataFrame([("a", i) for i in range(9)], "g string, v int")
+    for n in (-1, 0, 1, 5, 5000):
+        got = spread.top_per_group(df, ["g"], [df["v"].asc()], n)
+        assert got.columns == ["g", "v", "rank"] and got.count() == (n if 0 < n < 9 else 9)
