@@ -465,10 +465,21 @@ def oracle_sql() -> dict[str, str]:
     o["rows_by_category"] = f"""WITH {VEHICLES} SELECT energy_type, count(*) AS "rows" FROM vehicles GROUP BY 1"""
     o["price_histogram"] = histogram("")
     o["price_histogram_by_user"] = histogram("user_id")
-    o["price_segments"] = f"""WITH {VEHICLES}, bins(bin, label, lo, hi) AS (VALUES {_bins(fixed.PRICE_SEGMENTS)})
+    segments = f"""WITH {VEHICLES}, bins(bin, label, lo, hi) AS (VALUES (0, '0-10万', 0, 10), (1, '10-15万', 10, 15),
+      (2, '15-20万', 15, 20), (3, '20-25万', 20, 25), (4, '25-30万', 25, 30), (5, '30-50万', 30, 50), (6, '50万以上', 50, NULL))
       SELECT CAST(bin AS BIGINT) AS bin, label, count(*) AS "rows", {whole('avg(sales_volume)')} AS avg_sales,
-      {rnd('avg(sales_price)', 1)} AS avg_price FROM vehicles JOIN bins ON sales_price >= lo AND sales_price < hi
+      {rnd('avg(PRICE)', 1)} AS avg_price FROM vehicles JOIN bins ON PRICE >= lo AND (hi IS NULL OR PRICE < hi)
       GROUP BY bin, label"""
+    o["price_segments"] = segments.replace("PRICE", "sales_price")
+    o["price_segments_wide"] = segments.replace("PRICE", "(sales_price * 32)")
+    o["overview_with_gaps"] = f"""WITH {VEHICLES}, named AS (
+        SELECT user_id, concat(brand, ' ', model) AS name, v, v * sales_price AS r,
+          row_number() OVER (PARTITION BY user_id ORDER BY v DESC NULLS LAST, brand, model) AS a,
+          row_number() OVER (PARTITION BY user_id ORDER BY v * sales_price DESC NULLS LAST, brand, model) AS b
+        FROM (SELECT *, CASE WHEN upload_id % 4 <> 0 THEN sales_volume END AS v FROM vehicles))
+      SELECT x.user_id, CASE WHEN x.v IS NULL THEN '-' ELSE x.name END AS top_volume_name, coalesce(x.v, 0) AS top_volume,
+        CASE WHEN y.r IS NULL THEN '-' ELSE y.name END AS top_revenue_name, coalesce({rnd('y.r', 2)}, 0) AS top_revenue
+      FROM named x JOIN named y ON x.user_id = y.user_id AND x.a = 1 AND y.b = 1"""
     o["segment_bars"] = f"""WITH s AS ({o['price_segments']}) SELECT bin, label, avg_sales,
       CAST(round(avg_sales * 100.0 / (SELECT max(avg_sales) FROM s)) AS BIGINT) AS pct FROM s"""
     o["brand_measures"] = f"""WITH {VEHICLES} SELECT brand, CAST(sum(sales_volume) AS BIGINT) AS total_sales,
@@ -650,9 +661,14 @@ def oracle_sql() -> dict[str, str]:
     o["replace_current_rows"] = f"""WITH {VEHICLES} SELECT user_id % 8 AS slot, brand, model,
       CASE WHEN user_id % 8 = 3 THEN sales_volume * 2 ELSE sales_volume END AS sales_volume, sales_price, energy_type
       FROM vehicles"""
-    o["csv_scan"] = f"WITH {RAW} SELECT l_orderkey, brand, model, sales_volume, energy_type, sale_date FROM raw"
+    o["csv_scan"] = f"WITH {RAW} SELECT l_orderkey, l_linenumber, brand, model, sales_volume, sales_price, energy_type, sale_date FROM raw"
     o["csv_scan_mixed_encodings"] = o["csv_scan"]
+    o["csv_scan_blank_first_lines"] = o["csv_scan"]
     o["json_scan"] = o["csv_scan"]
+    o["reupload_and_delete"] = """SELECT l_orderkey % 5 AS user_id, count(*) FILTER (l_orderkey % 3 = 0) AS "rows", 2 AS batches,
+      CAST(count(*) + count(*) FILTER (l_orderkey % 3 = 0) AS BIGINT) AS archived FROM lineitem GROUP BY 1"""
+    o["streaming_mixed_files"] = f"""WITH {FACTS} SELECT l_orderkey % 5 AS user_id, count(*) AS "rows", count(DISTINCT brand) AS brands,
+      count(DISTINCT model) AS models, count(DISTINCT {std('energy_type')}) AS energy_types FROM facts GROUP BY 1"""
     o["flagship_brand_ranking"] = f"""WITH {AUTO}, s AS (SELECT brand, {rnd('sum(sales_volume)', 2)} AS total_sales,
       {rnd('avg(sales_price)', 2)} AS avg_price, count(*) AS "rows" FROM clean GROUP BY 1)
       SELECT *, row_number() OVER (ORDER BY total_sales DESC, brand) AS rank FROM s QUALIFY rank <= 7"""

@@ -438,6 +438,20 @@ def price_segments(spark, d):
     return aggregates.price_segments(b.vehicles(spark, d))
 
 
+@query
+def price_segments_wide(spark, d):
+    """Prices far beyond the last bound stay in the last segment."""
+    return aggregates.price_segments(b.vehicles(spark, d).withColumn("sales_price", F.col("sales_price") * 32))
+
+
+@query
+def overview_with_gaps(spark, d):
+    """Missing volumes never win, and tenants without any have none."""
+    rows = b.vehicles(spark, d).withColumn("sales_volume", F.expr("CASE WHEN upload_id % 4 <> 0 THEN sales_volume END"))
+    return aggregates.overview(rows, by=["user_id"]).select(
+        "user_id", "top_volume_name", "top_volume", "top_revenue_name", "top_revenue")
+
+
 @query
 def segment_bars(spark, d):
     segments = aggregates.price_segments(b.vehicles(spark, d)).select("bin", "label", "avg_sales")
@@ -811,13 +825,20 @@ def replace_current_rows(spark, d):
     return spark.read.parquet(path)
 
 
-SCAN = ["l_orderkey", "brand", "model", "sales_volume", "energy_type", "sale_date"]
+SCAN = ["brand", "model", "sales_volume", "energy_type", "sale_date"]
 CHINESE = {"brand": "品牌", "model": "车型", "sales_volume": "销量", "sales_price": "价格", "energy_type": "能源类型",
            "sale_date": "销售日期"}
 
 
 def _scan(df: DataFrame) -> DataFrame:
-    return df.select(F.col("l_orderkey").cast("bigint").alias("l_orderkey"), *SCAN[1:])
+    return df.select(F.col("l_orderkey").cast("bigint"), F.col("l_linenumber").cast("int"), *SCAN,
+                     F.col("sales_price").cast("double"))
+
+
+def _five_owners(spark, d, keep) -> DataFrame:
+    """Clean rows of some orders, one file per owner."""
+    rows = b.facts(spark, d).filter(keep).withColumn("user_id", F.col("l_orderkey") % 5)
+    return rows.repartition(5, "user_id")
 
 
 @query
@@ -842,6 +863,18 @@ def csv_scan_mixed_encodings(spark, d):
     return _scan(files.read_csv(spark, f"{path}/*/*.csv"))
 
 
+@query
+def csv_scan_blank_first_lines(spark, d):
+    """Files that begin with blank lines, as lines of text; none of their rows is lost."""
+    path = scratch_path(spark, "csv")
+    rows = b.raw(spark, d).coalesce(4)
+    plain = scratch_path(spark, "plain")
+    batches.export_clean(rows, plain, "csv")
+    text = spark.read.option("wholetext", True).text(f"{plain}/*.csv")
+    text.select(F.concat(F.lit("\n \n"), "value")).write.option("lineSep", "\n\n").text(path)
+    return _scan(files.load_table(spark, f"{path}/*.txt", "csv"))
+
+
 @query
 def json_scan(spark, d):
     path = scratch_path(spark, "json")
@@ -860,6 +893,41 @@ def upload_job(spark, d):
     return aggregates.overview(batches.current(spark, store), by=["user_id"])
 
 
+@query
+def reupload_and_delete(spark, d):
+    """One path uploaded three times with other rows, the second upload deleted in between."""
+    path = scratch_path(spark, "incoming")
+    store = batches.BatchStore(scratch_path(spark, "store"))
+    for run, keep in (("first", "true"), ("second", "l_orderkey % 2 = 0"), ("third", "l_orderkey % 3 = 0")):
+        _five_owners(spark, d, keep).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+            "user_id").option("header", True).csv(path)
+        uploading.upload(spark, f"{path}/*/*.csv", store, run, "csv")
+        if run == "second":
+            done = batches.active(spark, store).select("user_id", F.col("active_upload_id").alias("upload_id"))
+            batches.delete_uploads(spark, store, done)
+    log = batches.uploads(spark, store).groupBy("user_id").agg(F.count("*").alias("batches"), F.sum("record_count").alias("archived"))
+    return batches.current(spark, store).groupBy("user_id").agg(F.count("*").alias("rows")).join(log, "user_id")
+
+
+@query
+def streaming_mixed_files(spark, d):
+    """Files with two header orders and two encodings, taken up by the file stream."""
+    from salesloom.streaming.ingest import start_ingest
+
+    path = scratch_path(spark, "incoming")
+    rows = _five_owners(spark, d, "true")
+    keep = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.filter("user_id < 3").write.partitionBy("user_id").options(**keep).csv(f"{path}/utf8")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    other = rows.filter("user_id >= 3").withColumnsRenamed(CHINESE)
+    other.select(*reversed(other.columns)).write.partitionBy("user_id").options(**keep, encoding="GB18030").csv(f"{path}/gb")
+    store = batches.BatchStore(scratch_path(spark, "store"))
+    start_ingest(spark, path, store, scratch_path(spark, "progress")).awaitTermination()
+    return batches.current(spark, store).groupBy("user_id").agg(
+        F.count("*").alias("rows"), F.countDistinct("brand").alias("brands"), F.countDistinct("model").alias("models"),
+        F.countDistinct("energy_type").alias("energy_types"))
+
+
 @query
 def streaming_upload(spark, d):
     """The same files taken up by the file stream."""
@@ -869,8 +937,7 @@ def streaming_upload(spark, d):
     rows = b.raw(spark, d).withColumn("user_id", F.col("l_orderkey") % 5)
     rows.write.partitionBy("user_id").option("header", True).csv(path)
     store = batches.BatchStore(scratch_path(spark, "store"))
-    start_ingest(spark, path, store, scratch_path(spark, "progress"),
-                 [c for c in rows.columns if c != "user_id"]).awaitTermination()
+    start_ingest(spark, path, store, scratch_path(spark, "progress")).awaitTermination()
     return tenants.upload_list(
         batches.uploads(spark, store), batches.archive(spark, store),
         batches.users_with_active(spark, store, b.users(spark, d)),

@@ -101,11 +101,11 @@ PRICE_BINS = [
     ("30-50万", 30.0, 50.0), ("50万以上", 50.0, None),
 ]
 
-# --- fixed values: price segments of the correlation analysis
+# --- fixed values: price segments of the correlation analysis; the last is open, as its label says
 PRICE_SEGMENTS = [
     ("0-10万", 0.0, 10.0), ("10-15万", 10.0, 15.0), ("15-20万", 15.0, 20.0),
     ("20-25万", 20.0, 25.0), ("25-30万", 25.0, 30.0), ("30-50万", 30.0, 50.0),
-    ("50万以上", 50.0, 999.0),
+    ("50万以上", 50.0, None),
 ]
 
 # --- fixed values: seasonal factor per month, and the factor without a month

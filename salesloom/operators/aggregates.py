@@ -42,7 +42,7 @@ def overview(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
              tenants: DataFrame | None = None) -> DataFrame:
     """The headline figures of each group, one row per group.
 
-    Ties go to the alphabetically first names.  With ``tenants`` (the full list of keys), groups
+    Ties go to the alphabetically first names; missing measures and names never win.  With ``tenants`` (the full list of keys), groups
     without rows get a row of zeros and dashes.
     """
     by = list(by)
@@ -50,19 +50,19 @@ def overview(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
     dim, item = F.col(roles.dim), F.col(roles.item)
     main = level.groupBy(*by).agg(
         F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("total_rows"),
-        F.min(F.struct((-F.col("best_volume")).alias("m"), dim, item)).alias("_car"),
-        F.min(F.struct((-F.col("best_revenue")).alias("m"), dim, item)).alias("_money"),
+        F.min(F.when(F.col("best_volume").isNotNull(), F.struct((-F.col("best_volume")).alias("m"), dim, item))).alias("_car"),
+        F.min(F.when(F.col("best_revenue").isNotNull(), F.struct((-F.col("best_revenue")).alias("m"), dim, item))).alias("_money"),
         F.try_divide(F.sum("price_sum"), F.sum("price_rows")).alias("_avg_price"),
         F.sum("volume").alias("_volume"),
         *[F.sum(f"{s}_volume").alias(f"_{s}") for s in fixed.SHARE_SPELLINGS],
     )
     items = (
         level.groupBy(*by, roles.item).agg((-F.sum("rows")).alias("m"))
-        .groupBy(*by).agg(F.min(F.struct("m", item)).alias("_item"))
+        .groupBy(*by).agg(F.min(F.when(item.isNotNull(), F.struct("m", item))).alias("_item"))
     )
     dims = (
         level.groupBy(*by, roles.dim).agg((-F.sum("rows")).alias("m"))
-        .groupBy(*by).agg(F.min(F.struct("m", dim)).alias("_dim"), F.count(dim).alias("_dims"))
+        .groupBy(*by).agg(F.min(F.when(dim.isNotNull(), F.struct("m", dim))).alias("_dim"), F.count(dim).alias("_dims"))
     )
     if by:
         wide = join_on(join_on(main, items, by, "inner"), dims, by, "inner")
@@ -81,11 +81,11 @@ def overview(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
         *by,
         F.coalesce("total_rows", F.lit(0)).alias("total_rows"),
         F.when(some, name("_car")).otherwise(dash).alias("top_volume_name"),
-        F.when(some, -F.col("_car.m")).otherwise(F.lit(0)).alias("top_volume"),
+        F.coalesce(-F.col("_car.m"), F.lit(0)).alias("top_volume"),
         F.when(some, name("_money")).otherwise(dash).alias("top_revenue_name"),
-        F.when(some, numbers.rounded(-F.col("_money.m"), 2)).otherwise(F.lit(0.0)).alias("top_revenue"),
-        F.when(some, F.col("_item")[roles.item]).otherwise(dash).alias("top_item_by_rows"),
-        F.when(some, F.col("_dim")[roles.dim]).otherwise(dash).alias("top_dim_by_rows"),
+        F.coalesce(numbers.rounded(-F.col("_money.m"), 2), F.lit(0.0)).alias("top_revenue"),
+        F.coalesce(F.col("_item")[roles.item], dash).alias("top_item_by_rows"),
+        F.coalesce(F.col("_dim")[roles.dim], dash).alias("top_dim_by_rows"),
         F.coalesce(numbers.rounded("_avg_price", 2), F.lit(0.0)).alias("avg_price"),
         F.coalesce("_dims", F.lit(0)).alias("dim_count"),
         *[

@@ -2,57 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from salesloom.functions import text
-from salesloom.operators.cleaning import harmonise
 from salesloom.plans.upload import FILE, store_batches
-from salesloom.roles import SALES
 from salesloom.sources.batches import BatchStore, activate, latest_upload, uploads
+from salesloom.sources.files import read_csv, read_json
+
 
+LISTING = "path string, modificationTime timestamp, length long, content binary"
 
-def file_stream(spark: SparkSession, folder: str, columns: Sequence[str], fmt: str = "csv",
-                encoding: str = "UTF-8", max_files: int | None = None) -> DataFrame:
-    """Text-only stream of the files in a folder; all of them have the given columns in order."""
-    reader = spark.readStream.schema(", ".join(f"`{c}` STRING" for c in columns)).option(
-        "recursiveFileLookup", True)
+
+def file_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Stream of the paths of new files; what is in them is not read here."""
+    reader = spark.readStream.format("binaryFile").schema(LISTING).option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    if fmt == "csv":
-        if encoding not in ("UTF-8", "ISO-8859-1"):
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        raw = reader.option("header", True).option("encoding", encoding).option("escape", '"').csv(folder)
-    elif fmt == "json":
-        raw = reader.json(folder)
-    else:
-        raise ValueError(f"不支持的文件格式: .{fmt}")
-    cells = [text.null_if_na(F.col(f"`{c}`")).alias(c) if fmt == "csv" else F.col(f"`{c}`") for c in columns]
-    return harmonise(raw.select(*cells, F.col("_metadata.file_path").alias(FILE)))
+    return reader.load(folder).select(F.col("_metadata.file_path").alias(FILE))
 
 
 def start_ingest(spark: SparkSession, folder: str, store: BatchStore, checkpoint: str,
-                 columns: Sequence[str] = tuple(SALES.required), fmt: str = "csv",
-                 encoding: str = "UTF-8", max_files: int | None = None,
-                 set_active: bool = True) -> StreamingQuery:
+                 fmt: str = "csv", max_files: int | None = None, set_active: bool = True) -> StreamingQuery:
     """Process all files not seen yet, then stop.
 
+    The stream lists files; each micro-batch reads its own with the batch reader, so headers in any
+    order and mixed encodings are handled alike.
+
     One micro-batch holds many files and cleans them keyed by file, since a file's statistics
     depend on that file alone.  The micro-batch number names the run, so a replayed micro-batch
     overwrites its own output and nothing is stored twice.
     """
-    def keep(rows: DataFrame, number: int) -> None:
+    def keep(listed: DataFrame, number: int) -> None:
         run = f"stream-{number:09d}"
-        store_batches(spark, rows, store, run)
+        paths = [r[0] for r in listed.collect()]  # the listing of one micro-batch, as the driver has it anyway
+        if not paths:
+            return
+        read = {"csv": read_csv, "json": read_json}[fmt]
+        store_batches(spark, read(spark, paths, store.roles, file_column=FILE), store, run)
         if set_active:
             newest = latest_upload(uploads(spark, store).filter(F.col("run") == run))
             activate(spark, store, newest.filter(F.col("user_id").isNotNull()).select("user_id", "upload_id"))
 
     return (
-        file_stream(spark, folder, columns, fmt, encoding, max_files)
+        file_stream(spark, folder, max_files)
         .writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
