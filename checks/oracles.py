@@ -523,6 +523,18 @@ def oracle_sql() -> dict[str, str]:
       FROM vehicles ORDER BY sales_price DESC, brand, model, sales_volume, energy_type LIMIT 20"""
     o["largest_rows"] = f"""WITH {VEHICLES} SELECT brand, model, sales_volume, sales_price FROM vehicles
       ORDER BY sales_volume DESC, brand, model, sales_price LIMIT 10"""
+    o["largest_rows_by_user"] = f"""WITH {VEHICLES} SELECT user_id, brand, model, sales_volume, sales_price FROM vehicles
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sales_volume DESC, brand, model, sales_price) <= 3"""
+    o["chart_info_by_user"] = f"""WITH {VEHICLES}, top AS (SELECT * FROM vehicles QUALIFY row_number() OVER (
+        PARTITION BY user_id ORDER BY sales_volume DESC, brand, model, sales_price, energy_type) <= 15)
+      SELECT user_id, true AS success, count(*) AS data_count, CAST(sum(sales_volume) AS BIGINT) AS total_sales,
+      {rnd('avg(sales_price)', 2)} AS avg_price FROM top GROUP BY 1"""
+    o["radar_brands_by_user"] = f"""WITH {VEHICLES}, s AS (SELECT user_id, brand, CAST(sum(sales_volume) AS BIGINT) AS total_sales
+        FROM vehicles GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY total_sales DESC, brand) <= 6),
+      w AS (SELECT *, min(total_sales) OVER u AS lo, max(total_sales) OVER u AS hi, count(*) OVER u AS n FROM s
+        WINDOW u AS (PARTITION BY user_id))
+      SELECT user_id, brand, substr(brand, 1, 8) AS label, total_sales, n >= 3 AS enough,
+      CASE WHEN lo = hi THEN 50.0 ELSE {rnd('(total_sales - lo) / (hi - lo) * 80.0 + 20.0', 4)} END AS total_sales_scaled FROM w"""
     o["top_brands"] = f"""WITH {VEHICLES}, s AS (SELECT brand, CAST(sum(sales_volume) AS BIGINT) AS total_sales FROM vehicles
       GROUP BY 1) SELECT *, row_number() OVER (ORDER BY total_sales DESC, brand) AS rank FROM s QUALIFY rank <= 7"""
     o["top_brands_by_user"] = f"""WITH {VEHICLES}, s AS (SELECT user_id, brand, CAST(sum(sales_volume) AS BIGINT) AS total_sales

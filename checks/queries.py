@@ -531,6 +531,23 @@ def largest_rows(spark, d):
     return ranking.largest_rows(b.vehicles(spark, d))
 
 
+@query
+def largest_rows_by_user(spark, d):
+    return ranking.largest_rows(b.vehicles(spark, d), 3, by=["user_id"])
+
+
+@query
+def chart_info_by_user(spark, d):
+    rows = charts.chosen_rows(b.vehicles(spark, d), charts.ChartSpec(), by=["user_id"])
+    return charts.chart_info(rows, by=["user_id"]).drop("error")
+
+
+@query
+def radar_brands_by_user(spark, d):
+    scaled = charts.radar(b.vehicles(spark, d), by=["user_id"])
+    return rounded(scaled.select("user_id", "brand", "label", "total_sales", "enough", "total_sales_scaled"))
+
+
 @query
 def top_brands(spark, d):
     return ranking.top_dims(b.vehicles(spark, d))

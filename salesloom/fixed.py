@@ -137,7 +137,6 @@ POSITIVE_WORD, NEGATIVE_WORD, NO_CORRELATION = "正相关", "负相关", "几乎
 ABOVE_WORD, BELOW_WORD = "高于", "低于"
 SEGMENT_TAGS = {"top": "高销量主力", "high": "高端车型", "low": "经济车型", "mid": "中端均衡"}
 SMALL_STRATUM_NOTE = "样本不足"
-RADAR_AXES = ["总销量", "平均价格", "车型数量", "性价比指数"]
 MSG_EMPTY = "输入 DataFrame 为空"
 MSG_DUPLICATES = "删除 %d 行完全重复数据"
 MSG_OUTLIERS = "%s 列检测到 %d 个异常值 (|Z|>3)，已替换为中位数 %s"

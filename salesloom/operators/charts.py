@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from salesloom import fixed
 from salesloom.functions import numbers, text
 from salesloom.operators import aggregates, filters, ranking
-from salesloom.operators.cleaning import join_on
 from salesloom.operators.spread import attach
 from salesloom.roles import SALES, Roles
 
@@ -77,53 +76,53 @@ def collapse_small(rows: DataFrame, label: str, value: str, share: float = fixed
     return main.unionByName(rest)
 
 
-def bubble_sizes(rows: DataFrame, roles: Roles = SALES) -> DataFrame:
+def bubble_sizes(rows: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
     """Marker size from the price relative to the highest price shown."""
-    top = rows.agg(F.max(roles.price).alias("top"), F.count(F.lit(1)).alias("n"))
-    wide = attach(rows, top, [], "_t", "n")
+    top = rows.groupBy(*by).agg(F.max(roles.price).alias("top"), F.count(F.lit(1)).alias("n"))
+    wide = attach(rows, top, by, "_t", "n")
     size = F.coalesce(F.try_divide(F.col(roles.price), F.col("_t.top")), F.lit(0.0)) * 400 + 50
     return wide.withColumn("bubble", size).drop("_t")
 
 
-def chosen_rows(df: DataFrame, spec: ChartSpec, roles: Roles = SALES) -> DataFrame:
-    """Filter, sort and cut as the chart request says."""
+def chosen_rows(df: DataFrame, spec: ChartSpec, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
+    """Filter, sort and cut as the chart request says, for the table or every group."""
     sort_col = {"sales_volume": roles.qty, "sales_price": roles.price, "brand": roles.dim}[spec.sort_by]
-    rows = filters.filter_category(df.select(*roles.required), spec.energy_filter, roles)
-    return ranking.top_rows(rows, sort_col, spec.sort_order, spec.top_n, roles)
+    rows = filters.filter_category(df.select(*by, *roles.required), spec.energy_filter, roles)
+    return ranking.top_rows(rows, sort_col, spec.sort_order, spec.top_n, roles, by)
 
 
-def chart_info(rows: DataFrame, roles: Roles = SALES) -> DataFrame:
+def chart_info(rows: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
     """Row count, total volume and mean price of the rows shown; an error text if there are none."""
-    sums = rows.agg(F.count(F.lit(1)).alias("data_count"),
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("data_count"),
                     F.coalesce(F.sum(roles.qty), F.lit(0)).cast("bigint").alias("total_sales"),
                     numbers.rounded(F.avg(roles.price), 2).alias("avg_price"))
     none = F.col("data_count") == 0
-    return sums.select((~none).alias("success"), F.when(none, fixed.MSG_NO_CHART_ROWS).alias("error"),
+    return sums.select(*by, (~none).alias("success"), F.when(none, fixed.MSG_NO_CHART_ROWS).alias("error"),
                        "data_count", "total_sales", "avg_price")
 
 
-def chart_rows(df: DataFrame, spec: ChartSpec, roles: Roles = SALES) -> DataFrame:
-    """Dataset of one chart."""
-    rows = chosen_rows(df, spec, roles)
+def chart_rows(df: DataFrame, spec: ChartSpec, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
+    """Dataset of one chart, or of the chart of every group."""
+    rows = chosen_rows(df, spec, roles, by)
     kind = spec.chart_type
     if kind == "pie":
-        return collapse_small(_labelled(rows, roles), "label", roles.qty)
+        return collapse_small(_labelled(rows, roles), "label", roles.qty, by=by)
     if kind == "scatter":
-        return bubble_sizes(_labelled(rows, roles), roles)
+        return bubble_sizes(_labelled(rows, roles), roles, by)
     if kind == "horizontal_bar":
-        return ranking.top_rows(_labelled(rows, roles), roles.qty, "asc", 0, roles)
+        return ranking.top_rows(_labelled(rows, roles), roles.qty, "asc", 0, roles, by)
     if kind == "stacked_bar":
-        return ranking.stack_offsets(rows, roles).withColumn("label", F.substring(roles.dim, 1, 6))
+        return ranking.stack_offsets(rows, roles, by).withColumn("label", F.substring(roles.dim, 1, 6))
     if kind == "radar":
-        return radar(rows, roles)
+        return radar(rows, roles, by=by)
     return _labelled(rows, roles)
 
 
-def radar(rows: DataFrame, roles: Roles = SALES, n: int = 6) -> DataFrame:
+def radar(rows: DataFrame, roles: Roles = SALES, n: int = 6, by: Sequence[str] = ()) -> DataFrame:
     """Scaled measures of the largest entity groups."""
-    top = ranking.radar_dims(rows, n, roles)
+    top = ranking.radar_dims(rows, n, roles, by)
     measures = ["total_sales", "avg_price", "item_rows", "value_index"]
-    return ranking.scale_groups(top, measures).withColumn("label", F.substring(roles.dim, 1, 8))
+    return ranking.scale_groups(top, measures, by=by).withColumn("label", F.substring(roles.dim, 1, 8))
 
 
 class Dashboard(NamedTuple):
@@ -145,8 +144,3 @@ def dashboard(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> Da
         filters.scatter(df, roles, by),
         ranking.largest_rows(df, 10, roles, by),
     )
-
-
-def with_tenants(table: DataFrame, tenants: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Keep tenants without any row in the table."""
-    return join_on(tenants.select(*by), table, by, "left")

@@ -18,24 +18,32 @@ def _tie_break(df: DataFrame, used: Sequence[str]) -> list[str]:
 
 
 def top_rows(df: DataFrame, sort_by: str = SALES.qty, order: str = "desc", n: int = 15,
-             roles: Roles = SALES) -> DataFrame:
-    """The ``n`` largest rows by a column, in descending or ascending display order.
+             roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` largest rows (of every group) by a column, in descending or ascending display order.
 
     Ascending order shows the same largest rows, smallest of them first; ``n <= 0`` keeps all.
     Ties are settled by the remaining columns, so the choice is the same on every run.
     """
     if sort_by not in (roles.qty, roles.price, roles.dim):
         sort_by = roles.qty
-    ties = _tie_break(df, [sort_by])
-    largest = df.orderBy(F.desc(sort_by), *ties)
+    ties = _tie_break(df, [sort_by, *by])
+    descending = [F.desc(sort_by), *[F.asc(c) for c in ties]]
+    if by:
+        largest = top_per_group(df, by, descending, n, "_rank").drop("_rank")
+        return largest.orderBy(*by, *(descending if order != "asc" else [F.asc(sort_by), *[F.desc(c) for c in ties]]))
+    largest = df.orderBy(*descending)
     if n > 0:
         largest = largest.limit(n)
     return largest if order != "asc" else largest.orderBy(F.asc(sort_by), *[F.desc(c) for c in ties])
 
 
-def largest_rows(df: DataFrame, n: int = 10, roles: Roles = SALES, keep: Sequence[str] = ()) -> DataFrame:
-    cols = df.select(*keep, roles.dim, roles.item, roles.qty, roles.price)
-    return cols.orderBy(F.desc(roles.qty), roles.dim, roles.item, roles.price, *keep).limit(n)
+def largest_rows(df: DataFrame, n: int = 10, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` rows with the largest volume, of the table or of every group."""
+    cols = df.select(*by, roles.dim, roles.item, roles.qty, roles.price)
+    order = [F.desc(roles.qty), F.asc(roles.dim), F.asc(roles.item), F.asc(roles.price)]
+    if by:
+        return top_per_group(cols, by, order, n, "_rank").drop("_rank")
+    return cols.orderBy(*order).limit(n)
 
 
 def top_dims(df: DataFrame, n: int = 7, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
@@ -48,10 +56,12 @@ def top_dims(df: DataFrame, n: int = 7, roles: Roles = SALES, by: Sequence[str]
     return sums.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def radar_dims(df: DataFrame, n: int = 6, roles: Roles = SALES) -> DataFrame:
+def radar_dims(df: DataFrame, n: int = 6, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
     """Measures of the ``n`` largest entity groups, with a flag whether there are enough to compare."""
-    top = dim_measures(df, roles).orderBy(F.desc("total_sales"), roles.dim).limit(n)
-    return top.withColumn("enough", F.count(F.lit(1)).over(Window.partitionBy()) >= 3)
+    order = [F.desc("total_sales"), F.asc(roles.dim)]
+    sums = dim_measures(df, roles, by)
+    top = top_per_group(sums, by, order, n, "_rank").drop("_rank") if by else sums.orderBy(*order).limit(n)
+    return top.withColumn("enough", F.count(F.lit(1)).over(Window.partitionBy(*by)) >= 3)  # over n rows
 
 
 def top_rows_per_tenant(df: DataFrame, n: int = 10, roles: Roles = SALES,
@@ -90,11 +100,11 @@ def optional_limit(df: DataFrame, n: int | None) -> DataFrame:
 
 
 def scale_groups(df: DataFrame, columns: Sequence[str], lo: float = 20.0, hi: float = 100.0,
-                 flat: float = 50.0) -> DataFrame:
-    """Min-max scaling of each column to ``lo``..``hi``; a constant column becomes ``flat``."""
-    stats = df.agg(F.count(F.lit(1)).alias("n"),
-                   *[e for c in columns for e in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))])
-    wide = attach(df, stats, [], "_m", "n")
+                 flat: float = 50.0, by: Sequence[str] = ()) -> DataFrame:
+    """Min-max scaling of each column (within its group) to ``lo``..``hi``; a constant column becomes ``flat``."""
+    stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                                *[e for c in columns for e in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))])
+    wide = attach(df, stats, by, "_m", "n")
     for c in columns:
         low, high = F.col(f"_m.{c}_min"), F.col(f"_m.{c}_max")
         scaled = (F.col(c) - low) / (high - low) * (hi - lo) + lo
