@@ -11,9 +11,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesloom.session import scratch_path
+
 #: Keys with more than one row in HOT_SHARE get their own treatment; fewer than HOT_SHARE can.
 HOT_SHARE = 200
 
@@ -119,3 +121,29 @@ def shingle_hashes(values: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         run = mixed(run * _MIX[0] + values[k:k + count])
     return np.unique(run)
+
+
+class Scratch:
+    """Tables written below the shared folder, and dropped as soon as no later table reads them.
+
+    Only what has been written out in turn may be dropped, so work that is lost with an executor
+    never needs a dropped table again.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (kept, path)
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for table in tables:
+            _, path = self.paths.pop(id(table), (None, None))
+            if path:
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(conf).delete(place, True)
