@@ -32,7 +32,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import WordTable, rows_in, text_bytes
+from salesloom.llm.common import Scratch, WordTable, cells, rows_in, text_bytes
 from salesloom.session import staged
 
 CLASSES, SLOTS = 32, 32
@@ -44,6 +44,8 @@ ROUNDS, STEP_TOKENS, RATE = 3, 8192, 0.15
 END = b" "
 BLOCK_TOKENS, BLOCK_WORDS = 1_500_000, 400_000
 FAN_IN, CHUNKS = 64, 16
+#: A task trains on so many tokens of a round or more.
+TASK_TOKENS = 200_000
 
 _WIDTH = CLASSES + SLOTS
 
@@ -249,14 +251,20 @@ def _averaged(table: pa.Table) -> pa.Table:
 TRAINED = "part long, chunk int, tokens double, weights binary"
 
 
-def train(docs: DataFrame, masses: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Weights from all training documents, ``docs(key, text)``; only the averaged weights reach the driver."""
+def train(docs: DataFrame, masses: np.ndarray, tokens: int, rounds: int = ROUNDS) -> Model:
+    """Weights from all training documents, ``docs(key, text)`` with so many ``tokens``.
+
+    Small input partitions are taken together, so that the weights that tasks write stay well below what
+    they read.  Only the averaged weights reach the driver.
+    """
+    tasks = cells(tokens, TASK_TOKENS * rounds)
     share = masses.reshape(CLASSES, SLOTS)
     model = Model(np.zeros((ROWS, _WIDTH), "float32"), np.log(share.sum(axis=1)).astype("float32"), np.log(share).astype("float32"))
+    scratch = Scratch(docs.sparkSession)
     for k in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        turn = docs.filter(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k).select("text")
-        made = staged(turn.mapInArrow(_trainer(shared), TRAINED), "weights")
+        turn = docs.filter(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k).select("text").coalesce(tasks)
+        made = given = scratch.keep(turn.mapInArrow(_trainer(shared), TRAINED), "weights")
         parts = made.agg(F.max("part")).first()[0]
         while parts:
             made = made.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "chunk").applyInArrow(_averaged, TRAINED)
@@ -265,6 +273,7 @@ def train(docs: DataFrame, masses: np.ndarray, rounds: int = ROUNDS) -> Model:
         if got:
             weights = np.concatenate([np.frombuffer(r["weights"], "float32") for r in got]).reshape(ROWS, _WIDTH)
             model = Model(weights.copy(), model.class_bias, model.slot_bias)
+        scratch.drop(given)
         shared.unpersist()
     return model
 
@@ -305,13 +314,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     counts = staged(words.groupBy("token").agg(F.sum("n_train").alias("c"), F.first("cell").alias("cell")), "counts")
 
     known = counts.filter("c > 0")
-    cells = known.groupBy("cell").agg(F.sum(F.col("c") + 1).alias("mass"), F.sum("c").alias("tokens"), F.count("*").alias("types")).collect()
+    sums = known.groupBy("cell").agg(F.sum(F.col("c") + 1).alias("mass"), F.sum("c").alias("tokens"), F.count("*").alias("types")).collect()
     masses = np.ones(CLASSES * SLOTS)
-    for r in cells:
+    for r in sums:
         masses[r["cell"]] += r["mass"]
-    train_tokens, types = sum(r["tokens"] for r in cells), sum(r["types"] for r in cells)
+    train_tokens, types = sum(r["tokens"] for r in sums), sum(r["types"] for r in sums)
 
-    model = train(own.filter(~F.col("held")).select(F.col("doc_id").alias("key"), "text"), masses, rounds)
+    model = train(own.filter(~F.col("held")).select(F.col("doc_id").alias("key"), "text"), masses, train_tokens, rounds)
     shared = docs.sparkSession.sparkContext.broadcast((model, masses, train_tokens + types + 1))
     numbered = words.join(counts.select("token", "c"), "token").select(
         F.col("block").alias("of"), "number", "c", "cell", "hash")
