@@ -677,8 +677,8 @@ def oracle_sql() -> dict[str, str]:
     o["csv_scan_mixed_encodings"] = o["csv_scan"]
     o["csv_scan_blank_first_lines"] = o["csv_scan"]
     o["json_scan"] = o["csv_scan"]
-    o["reupload_and_delete"] = """SELECT l_orderkey % 5 AS user_id, count(*) FILTER (l_orderkey % 3 = 0) AS "rows", 2 AS batches,
-      CAST(count(*) + count(*) FILTER (l_orderkey % 3 = 0) AS BIGINT) AS archived FROM lineitem GROUP BY 1"""
+    o["reupload_and_delete"] = """SELECT l_orderkey % 5 AS user_id, count(*) AS "rows", CAST(3 * sum(l_quantity) AS BIGINT) AS volume,
+      2 AS batches, 2 * count(*) AS archived FROM lineitem GROUP BY 1"""
     o["streaming_mixed_files"] = f"""WITH {FACTS} SELECT l_orderkey % 5 AS user_id, count(*) AS "rows", count(DISTINCT brand) AS brands,
       count(DISTINCT model) AS models, count(DISTINCT {std('energy_type')}) AS energy_types FROM facts GROUP BY 1"""
     o["flagship_brand_ranking"] = f"""WITH {AUTO}, s AS (SELECT brand, {rnd('sum(sales_volume)', 2)} AS total_sales,

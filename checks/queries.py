@@ -852,10 +852,10 @@ def _scan(df: DataFrame) -> DataFrame:
                      F.col("sales_price").cast("double"))
 
 
-def _five_owners(spark, d, keep) -> DataFrame:
-    """Clean rows of some orders, one file per owner."""
-    rows = b.facts(spark, d).filter(keep).withColumn("user_id", F.col("l_orderkey") % 5)
-    return rows.repartition(5, "user_id")
+def _five_owners(spark, d, times: int = 1) -> DataFrame:
+    """All clean rows with a multiple of their volume, one file per owner."""
+    rows = b.facts(spark, d).withColumn("user_id", F.col("l_orderkey") % 5)
+    return rows.withColumn("sales_volume", F.col("sales_volume") * times).repartition(5, "user_id")
 
 
 @query
@@ -912,18 +912,19 @@ def upload_job(spark, d):
 
 @query
 def reupload_and_delete(spark, d):
-    """One path uploaded three times with other rows, the second upload deleted in between."""
+    """One path uploaded three times with other volumes, the second upload deleted in between."""
     path = scratch_path(spark, "incoming")
     store = batches.BatchStore(scratch_path(spark, "store"))
-    for run, keep in (("first", "true"), ("second", "l_orderkey % 2 = 0"), ("third", "l_orderkey % 3 = 0")):
-        _five_owners(spark, d, keep).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+    for run, times in (("first", 1), ("second", 2), ("third", 3)):
+        _five_owners(spark, d, times).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
             "user_id").option("header", True).csv(path)
         uploading.upload(spark, f"{path}/*/*.csv", store, run, "csv")
         if run == "second":
             done = batches.active(spark, store).select("user_id", F.col("active_upload_id").alias("upload_id"))
             batches.delete_uploads(spark, store, done)
     log = batches.uploads(spark, store).groupBy("user_id").agg(F.count("*").alias("batches"), F.sum("record_count").alias("archived"))
-    return batches.current(spark, store).groupBy("user_id").agg(F.count("*").alias("rows")).join(log, "user_id")
+    now = batches.current(spark, store).groupBy("user_id").agg(F.count("*").alias("rows"), F.sum("sales_volume").alias("volume"))
+    return now.join(log, "user_id")
 
 
 @query
@@ -932,7 +933,7 @@ def streaming_mixed_files(spark, d):
     from salesloom.streaming.ingest import start_ingest
 
     path = scratch_path(spark, "incoming")
-    rows = _five_owners(spark, d, "true")
+    rows = _five_owners(spark, d)
     keep = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     rows.filter("user_id < 3").write.partitionBy("user_id").options(**keep).csv(f"{path}/utf8")
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
