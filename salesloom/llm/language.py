@@ -322,8 +322,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
 
     model = train(own.filter(~F.col("held")).select(F.col("doc_id").alias("key"), "text"), masses, train_tokens, rounds)
     shared = docs.sparkSession.sparkContext.broadcast((model, masses, train_tokens + types + 1))
+    # columns of its own, since both sides of the cogroup come from one table
     numbered = words.join(counts.select("token", "c"), "token").select(
-        F.col("block").alias("of"), "number", "c", "cell", "hash")
+        F.col("block").alias("of"), *[F.col(c).alias(c) for c in ("number", "c", "cell", "hash")])
     documents = encoded.filter(F.col("kind") == DOCUMENT).select("block", "doc_id", "held", "words")
     scored = documents.groupBy("block").cogroup(numbered.groupBy("of")).applyInArrow(_scorer(shared), SCORED)
     return scored.withColumn("train_tokens", F.lit(train_tokens).cast("long"))

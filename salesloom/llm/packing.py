@@ -225,16 +225,17 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     dealt = pieces.withColumn("cell", cell)
 
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    # columns of its own, since both sides of the cogroup come from one table
     first = dealt.groupBy("cell", "length").count().select(
-        "cell", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+        F.col("cell").alias("of"), F.col("length").alias("size"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
 
     def assign(pieces: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable")
         length = pieces["length"].to_numpy("int64")
         rank = pieces.groupby("length").cumcount().to_numpy("int64")
-        begin = first.set_index("length")["first"]
+        begin = first.set_index("size")["first"]
         rank = rank + begin.reindex(length).to_numpy("int64")
         sequence, offset = _rank_and_place(shared.value)(length, rank)
         return pieces.drop(columns="cell").assign(sequence_id=sequence, offset=offset)
 
-    return dealt.groupBy("cell").cogroup(first.groupBy("cell")).applyInPandas(assign, PACKED)
+    return dealt.groupBy("cell").cogroup(first.groupBy("of")).applyInPandas(assign, PACKED)

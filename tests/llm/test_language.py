@@ -47,6 +47,7 @@ def test_base_score_equals_plain_counts(spark, block_tokens):
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, token string, block int").repartition(3)
     got = G.score(docs, rounds=2, block_tokens=block_tokens).collect()
     same(got, brute(rows))
+    assert G.score(docs, rounds=1).count() == len(rows)
     assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
 
 

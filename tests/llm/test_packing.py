@@ -64,6 +64,7 @@ def test_pack_whole_table(spark):
         for piece, at in enumerate(range(0, len(ids), 2048)):
             part = np.array(ids[at:at + 2048], "<u4")
             expected.append((doc_id, piece, at, len(part), zlib.crc32(part.tobytes())))
+    assert packing.pack(spark.createDataFrame(rows, SCHEMA), PATH).select("doc_id").count() == len(out)
     key = str
     assert sorted((tuple(r)[:5] for r in out), key=key) == sorted(expected, key=key)
     end = {}
