@@ -10,8 +10,8 @@ before (with its successor an n-gram), the word two before (a skip feature) and
 mass of a slot is the sum of (count + 1) over its known words, and 1 for all unknown ones, so the
 probabilities of all words sum to one, whatever the vocabulary.
 
-Counting covers the whole training corpus: tasks count in blocks, words meet by shuffle, and the
-counts return to the blocks by word number.  The weights are trained in ROUNDS; in each, every task
+Counting covers the whole training corpus: tasks count in blocks, words (as 64-bit hashes, xxh3) meet in
+buckets, and the counts return to the blocks in the order in which these sent their words.  The weights are trained in ROUNDS; in each, every task
 takes gradient steps over its training documents of that round, and the tasks' weights are averaged
 in levels.  Documents are scored block by block in numpy.
 
@@ -43,6 +43,7 @@ ROUNDS, STEP_TOKENS, RATE = 3, 8192, 0.15
 #: No white space is in a word, so this cannot be one.
 END = b" "
 BLOCK_TOKENS, BLOCK_WORDS = 1_500_000, 400_000
+BUCKET_BYTES = 16_000_000
 FAN_IN, CHUNKS = 64, 16
 #: A task trains on so many tokens of a round or more.
 TASK_TOKENS = 200_000
@@ -132,12 +133,16 @@ class Model:
             self.weights[used, columns] -= RATE * total / np.sqrt(part)
 
 
-ENCODED = ("kind int, block long, doc_id long, held boolean, words binary, number int, token binary, "
-           "n_train long, cell int, hash long")
+ENCODED = "kind int, block long, doc_id long, held boolean, bucket int, payload binary"
 _ENCODED = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()),
-                      ("words", pa.binary()), ("number", pa.int32()), ("token", pa.binary()), ("n_train", pa.int64()),
-                      ("cell", pa.int32()), ("hash", pa.int64())])
-DOCUMENT, WORD = 0, 1
+                      ("bucket", pa.int32()), ("payload", pa.binary())])
+#: Rows of a document (numbers of its words), of a block (its words), and of a block's counts for a bucket.
+DOCUMENT, WORDS, COUNTS = range(3)
+#: One entry of a count: hash and cell of a word, and how often the block's training documents have it.
+_ENTRY = np.dtype([("hash", "<u8"), ("n", "<u4"), ("cell", "<u2")])
+COUNTED = "block long, bucket int, payload binary, cell int, mass long, tokens long, types long"
+_COUNTED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("cell", pa.int32()),
+                      ("mass", pa.int64()), ("tokens", pa.int64()), ("types", pa.int64())])
 
 
 def _pack_numbers(numbers: np.ndarray) -> bytes:
@@ -150,24 +155,32 @@ def _unpack_numbers(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, "<u2", count).astype("int64") + (np.frombuffer(packed, "u1", count, 2 * count).astype("int64") << 16)
 
 
-def _encode(batches: Iterable[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Documents as numbers of the words of their block, then the words of the block with their counts."""
+def _by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Numbers of the words that fall into each bucket, ascending."""
+    bucket = (hashes % np.uint64(buckets)).astype("int64")
+    order = np.argsort(bucket, kind="stable")
+    found, begin = np.unique(bucket[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, begin[1:])))
+
+
+def _encode(batches: Iterable[pa.RecordBatch], block_tokens: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Documents as numbers of the words of their block, the words of each block, and its counts by bucket."""
     part, closed = TaskContext.get().partitionId(), 0
     table, docs, tokens = Marks(1 << 23), [], 0
     counts = np.zeros(1024, "int64")
 
     def block_rows() -> Iterator[pa.RecordBatch]:
         block, size = (part << 24) + closed, len(table)
-        docs_n = len(docs)
-        if docs_n:
-            ids, held, words = zip(*docs)
-            yield _rows(docs_n, kind=DOCUMENT, block=block, doc_id=ids, held=held, words=words)
-            words = list(table)
-            for at in range(0, size, 50_000):
-                some = words[at:at + 50_000]
-                stop = at + len(some)
-                yield _rows(len(some), kind=WORD, block=block, number=np.arange(at, stop), token=some, n_train=counts[at:stop],
-                            cell=table.cells[at:stop], hash=table.values[at:stop].view("int64"))
+        if docs:
+            for at in range(0, len(docs), 500):
+                ids, held, numbers = zip(*docs[at:at + 500])
+                yield _rows(len(ids), kind=DOCUMENT, block=block, doc_id=ids, held=held, payload=numbers)
+            yield _rows(1, kind=WORDS, block=block, payload=[b"\n".join(table)])
+            entries = np.zeros(size, _ENTRY)
+            entries["hash"], entries["n"], entries["cell"] = table.values[:size], counts[:size], table.cells[:size]
+            dealt = _by_bucket(entries["hash"], buckets)
+            yield _rows(len(dealt), kind=COUNTS, block=block, bucket=[b for b, _ in dealt],
+                        payload=[b"".join(entries[k][c].tobytes() for c in _ENTRY.names) for _, k in dealt])
 
     for batch in rows_in(batches):
         for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -198,6 +211,32 @@ def _rows(count: int, **given) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_ENCODED)
 
 
+def _count(table: pa.Table) -> pa.Table:
+    """Counts over all blocks, back to each block in the order in which it sent them, and sums per cell."""
+    parts = []
+    for payload in table.column("payload").to_pylist():
+        size, entries = len(payload) // _ENTRY.itemsize, np.zeros(len(payload) // _ENTRY.itemsize, _ENTRY)
+        entries["hash"] = np.frombuffer(payload, "<u8", size)
+        entries["n"] = np.frombuffer(payload, "<u4", size, 8 * size)
+        entries["cell"] = np.frombuffer(payload, "<u2", size, 12 * size)
+        parts.append(entries)
+    entries = np.concatenate(parts)
+    _, first, which = np.unique(entries["hash"], return_index=True, return_inverse=True)
+    counts = np.zeros(len(first), "int64")
+    np.add.at(counts, which, entries["n"].astype("int64"))
+    back = np.split(counts[which].astype("<u8"), np.cumsum([len(p) for p in parts])[:-1])
+    seen = counts > 0
+    cell, c = entries["cell"][first][seen].astype("int64"), counts[seen]
+    types = np.bincount(cell, minlength=CLASSES * SLOTS)
+    tokens = np.zeros(CLASSES * SLOTS, "int64")
+    np.add.at(tokens, cell, c)
+    full, used = table.num_rows, np.flatnonzero(types)
+    columns = [table.column("block").to_pylist() + [None] * len(used), table.column("bucket").to_pylist() + [None] * len(used),
+               [b.tobytes() for b in back] + [None] * len(used), *[[None] * full + x[used].tolist() for x in (
+                   np.arange(CLASSES * SLOTS), tokens + types, tokens, types)]]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _COUNTED)], schema=_COUNTED)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(True))
 
@@ -278,23 +317,28 @@ def train(docs: DataFrame, masses: np.ndarray, tokens: int, rounds: int = ROUNDS
     return model
 
 
-def _scorer(shared: Broadcast):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+def _scorer(shared: Broadcast, buckets: int):
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         model, masses, size = shared.value
-        order = np.argsort(words.column("number").to_numpy())
-        counts = words.column("c").to_numpy()[order]
-        cells = words.column("cell").to_numpy()[order].astype("int64")
-        values = words.column("hash").to_numpy()[order].view("uint64")
-        gain = np.log10(counts + 1.0)
+        rows = list(zip(*(told.column(c).to_pylist() for c in ("bucket", "payload"))))
+        words = next((p for b, p in rows if b is None), b"").split(b"\n")
+        table = Marks(1 << 23)
+        table.numbers(words)
+        values, all_cells = table.values[:len(words)], table.cells[:len(words)]
+        counts, dealt = np.zeros(len(words), "int64"), dict(_by_bucket(values, buckets))
+        for bucket, payload in rows:
+            if bucket is not None:
+                counts[dealt[bucket]] = np.frombuffer(payload, "<u8")
+        gain, weight = np.log10(counts + 1.0), np.log10(masses)
         out = []
-        for doc_id, held, packed in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held", "words"))):
+        for doc_id, held, packed in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held", "payload"))):
             numbers = _unpack_numbers(packed)
             own = float(gain[numbers].sum())
-            cell = cells[numbers]
-            rows = history_rows(values[numbers], np.zeros(1, "int64"))
-            near = sum(float(model.log10(rows[:, a:a + STEP_TOKENS], cell[a:a + STEP_TOKENS]).sum()) for a in range(0, len(cell), STEP_TOKENS))
+            cell = all_cells[numbers]
+            history = history_rows(values[numbers], np.zeros(1, "int64"))
+            near = sum(float(model.log10(history[:, a:a + STEP_TOKENS], cell[a:a + STEP_TOKENS]).sum()) for a in range(0, len(cell), STEP_TOKENS))
             out.append((doc_id, held, len(numbers), int((counts[numbers] > 0).sum()), own - len(numbers) * float(np.log10(size)),
-                        own + near - float(np.log10(masses)[cell].sum())))
+                        own + near - float(weight[cell].sum())))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 6, _SCORED)], schema=_SCORED)
 
     return run
@@ -309,12 +353,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
           block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Columns of ``SCORED`` and ``train_tokens`` for every row."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held"), text_bytes(text_col).alias("text"))
-    encoded = staged(own.mapInArrow(lambda batches: _encode(batches, block_tokens), ENCODED), "encoded")
-    words = encoded.filter(F.col("kind") == WORD)
-    counts = staged(words.groupBy("token").agg(F.sum("n_train").alias("c"), F.first("cell").alias("cell")), "counts")
-
-    known = counts.filter("c > 0")
-    sums = known.groupBy("cell").agg(F.sum(F.col("c") + 1).alias("mass"), F.sum("c").alias("tokens"), F.count("*").alias("types")).collect()
+    buckets = cells(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0, BUCKET_BYTES)
+    encoded = staged(own.mapInArrow(lambda batches: _encode(batches, block_tokens, buckets), ENCODED), "encoded")
+    sent = encoded.filter(F.col("kind") == COUNTS).select("block", "bucket", "payload")
+    counted = staged(sent.groupBy("bucket").applyInArrow(_count, COUNTED), "counted")
+    sums = counted.filter("cell is not null").groupBy("cell").agg(
+        *[F.sum(c).alias(c) for c in ("mass", "tokens", "types")]).collect()
     masses = np.ones(CLASSES * SLOTS)
     for r in sums:
         masses[r["cell"]] += r["mass"]
@@ -322,9 +366,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
 
     model = train(own.filter(~F.col("held")).select(F.col("doc_id").alias("key"), "text"), masses, train_tokens, rounds)
     shared = docs.sparkSession.sparkContext.broadcast((model, masses, train_tokens + types + 1))
+    documents = encoded.filter(F.col("kind") == DOCUMENT).select("block", "doc_id", "held", "payload")
     # columns of its own, since both sides of the cogroup come from one table
-    numbered = words.join(counts.select("token", "c"), "token").select(
-        F.col("block").alias("of"), *[F.col(c).alias(c) for c in ("number", "c", "cell", "hash")])
-    documents = encoded.filter(F.col("kind") == DOCUMENT).select("block", "doc_id", "held", "words")
-    scored = documents.groupBy("block").cogroup(numbered.groupBy("of")).applyInArrow(_scorer(shared), SCORED)
+    words = encoded.filter(F.col("kind") == WORDS).select("block", "bucket", "payload")
+    told = words.union(counted.filter("cell is null").select("block", "bucket", "payload")).select(
+        *[F.col(c).alias(c) for c in ("block", "bucket", "payload")])
+    scored = documents.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scorer(shared, buckets), SCORED)
     return scored.withColumn("train_tokens", F.lit(train_tokens).cast("long"))
