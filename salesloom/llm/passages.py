@@ -4,7 +4,7 @@ bytes that also starts in a document with a smaller id.
 Suffixes are not sorted one by one; a sample of positions that depends on the text alone stands for
 all of them.  Of the hashes of all GRAM-byte runs in a window of SIZE bytes, the least one is the
 window's anchor, so equal windows have equal anchors wherever they stand.  Neighbouring windows
-with one anchor form a stretch (some 16 windows).  Then
+with one anchor form a stretch (some 14 windows).  Then
 
 1. equal stretches are found by their hashes: in all but the smallest document that has it, every
    window of the stretch has been seen;
@@ -14,7 +14,8 @@ with one anchor form a stretch (some 16 windows).  Then
 Documents are dealt into blocks of some MB by their id; a block names each of its stretches and
 windows once, with its smallest document, so a passage that a third of all documents share costs one
 entry per block.  Anchors with many stretches in one block go straight to the second step.
-Hashes of 64 bits (xxh3) stand for stretches and windows.
+Hashes of 64 bits stand for stretches and windows (xxh3; of a stretch, 32 bits are its anchor's), besides the
+bits that chose the bucket where they meet, whose number grows with the input.
 
 Defined results: null and empty texts have no bytes; rows with one id leave each other alone; rows
 without an id come after all others and leave each other alone; an empty table gives no rows;
@@ -36,14 +37,17 @@ from pyspark.sql import types as T
 from salesloom.llm.common import cells, free_name, mixed, text_bytes
 
 SIZE = 50
-GRAM = 20
-BLOCK_BYTES = 4_000_000
+GRAM = 24
+BLOCK_BYTES, BUCKET_BYTES = 3_000_000, 8_000_000
+#: Texts are hashed so many bytes at a time, or one by one where they are longer.
+PIECE_BYTES = 32_768
 #: Anchors with more different stretches in a block are settled window by window.
 MANY = 16
 NO_ID = np.iinfo("int64").max
 
 _TABLE = np.random.default_rng(7).integers(0, 2 ** 63, 256, "int64").astype("uint64") * np.uint64(2) + np.uint64(1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_HALF = np.uint64(32)
 
 
 def gram_hashes(text: np.ndarray, size: int) -> np.ndarray:
@@ -73,18 +77,30 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:len(values) - rest], values[rest:]) if rest else values
 
 
-def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, hash, first and last window of every stretch."""
-    if len(text) < SIZE:
-        none = np.zeros(0, "uint64")
-        return none, none, np.zeros(0, "int64"), np.zeros(0, "int64")
+def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, anchor, name, first and last window of every stretch of some texts.
+
+    The name is half the anchor, half a hash of the bytes.
+    """
+    whole, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+    if len(whole) < SIZE:
+        return tuple(np.zeros(0, kind) for kind in ("int64", "uint64", "uint64", "int64", "int64"))
     with np.errstate(over="ignore"):
-        least = least_in_windows(gram_hashes(np.frombuffer(text, "uint8"), GRAM), SIZE - GRAM + 1)
-    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    last = np.concatenate([first[1:] - 1, [len(least) - 1]])
+        least = least_in_windows(gram_hashes(np.frombuffer(whole, "uint8"), GRAM), SIZE - GRAM + 1)
+    # no window crosses the end of a text
+    inside = np.ones(len(least), bool)
+    for end in ends[:-1].tolist():
+        inside[max(0, end - SIZE + 1):end] = False
+    at = np.flatnonzero(inside)
+    kept = least[at]
+    cut = np.flatnonzero((kept[1:] != kept[:-1]) | (at[1:] != at[:-1] + 1)) + 1
+    begin = np.concatenate([[0], cut]) if len(at) else cut
+    first, last, anchors = at[begin], at[np.concatenate([cut - 1, [len(at) - 1]])] if len(at) else at, kept[begin]
     digest = xxhash.xxh3_64_intdigest
-    names = np.fromiter((digest(text[a:b]) for a, b in zip(first.tolist(), (last + SIZE).tolist())), "uint64", len(first))
-    return least[first], names, first, last
+    names = np.fromiter((digest(whole[i:j]) for i, j in zip(first.tolist(), (last + SIZE).tolist())), "uint64", len(first))
+    doc = np.searchsorted(ends, first, side="right")
+    start = (ends - [len(t) for t in texts])[doc]
+    return doc, anchors, anchors >> _HALF << _HALF | names >> _HALF, first - start, last - start
 
 
 def window_hashes(text: bytes, first: int, last: int) -> list[int]:
@@ -101,43 +117,68 @@ class Block:
         self.ids = ids[self.order]
         texts = table.column("text")
         self.texts = [texts[int(k)].as_py() for k in self.order]
-        found = [stretches(t) for t in self.texts]
-        self.doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        join = lambda k, kind: np.concatenate([f[k] for f in found] + [np.zeros(0, kind)])
-        self.anchor, self.name = join(0, "uint64"), join(1, "uint64")
-        self.first, self.last = join(2, "int64"), join(3, "int64")
-        # the first place of every name belongs to the smallest document that has it
-        self.names, self.place, self.which = np.unique(self.name, return_index=True, return_inverse=True)
-        anchors, where, count = np.unique(self.anchor[self.place], return_inverse=True, return_counts=True)
-        self.many = (count > MANY)[where]
-        ranked = np.argsort(where, kind="stable")
-        rank = np.empty(len(where), "int64")
-        rank[ranked] = np.arange(len(where)) - np.repeat(np.cumsum(count) - count, count)
-        #: Names to be compared with other blocks; two are enough to show that an anchor has several.
-        self.sent = ~self.many | (rank < 2)
-
-    def own_id(self) -> np.ndarray:
-        """Smallest document of every name."""
-        return self.ids[self.doc[self.place]]
+        parts, at = [stretches([])], 0
+        while at < len(self.texts):
+            stop, size = at, 0
+            while stop < len(self.texts) and (stop == at or size + len(self.texts[stop]) <= PIECE_BYTES):
+                size += len(self.texts[stop])
+                stop += 1
+            doc, *rest = stretches(self.texts[at:stop])
+            parts.append((doc + at, *rest))
+            at = stop
+        self.doc, self.anchor, self.name, self.first, self.last = (np.concatenate(c) for c in zip(*parts))
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Entries for other blocks and their anchors; names of crowded anchors; entries of names that
+        several documents of the block have, with the place of the smallest.
+
+        Of a crowded anchor two names are sent, enough to show others that it has several.
+        """
+        names, place, count = np.unique(self.name, return_index=True, return_counts=True)
+        anchor = self.anchor[place]
+        order = np.argsort(anchor, kind="stable")
+        starts = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]) if len(order) else np.zeros(0, bool)
+        group = np.cumsum(starts) - 1
+        rank = np.empty(len(order), "int64")
+        rank[order] = np.arange(len(order)) - np.flatnonzero(starts)[group]
+        many = np.empty(len(order), bool)
+        many[order] = (np.bincount(group) > MANY)[group]
+        sent = ~many | (rank < 2)
+        entries = np.zeros(int(sent.sum()), _ENTRY)
+        entries["name"], entries["id"] = names[sent], self.ids[self.doc[place[sent]]]
+        again = count > 1
+        local = np.zeros(int(again.sum()), _ENTRY)
+        local["name"], local["id"] = names[again], self.doc[place[again]]
+        return entries, anchor[sent], names[many], local
 
     def windows(self, open_names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, document and start of the windows of these names' first places, and of crowded anchors."""
-        chosen = np.flatnonzero(self.many | np.isin(self.names, open_names))
+        """Hash, document and start of the windows at the first places of these names."""
+        found = np.flatnonzero(_among(self.name, open_names))
+        _, first = np.unique(self.name[found], return_index=True)
         hashes, docs, starts = [], [], []
-        for k in self.place[chosen].tolist():
-            found = window_hashes(self.texts[self.doc[k]], int(self.first[k]), int(self.last[k]))
-            hashes += found
-            docs += [int(self.doc[k])] * len(found)
+        for k in found[first].tolist():
+            got = window_hashes(self.texts[self.doc[k]], int(self.first[k]), int(self.last[k]))
+            hashes += got
+            docs += [int(self.doc[k])] * len(got)
             starts += range(int(self.first[k]), int(self.last[k]) + 1)
         return np.array(hashes, "uint64"), np.array(docs, "int64"), np.array(starts, "int64")
 
 
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are among the wanted ones."""
+    wanted = np.unique(wanted)
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(wanted, values)
+    return wanted[np.minimum(at, len(wanted) - 1)] == values
+
+
 SENT = "bucket int, block int, kind int, payload binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
-#: What a payload holds: entries for other blocks, names seen, names still open, windows seen.
-ENTRIES, SEEN_NAMES, OPEN_NAMES, SEEN_WINDOWS = range(4)
-_NAME = np.dtype([("anchor", "<u4"), ("name", "<u8"), ("id", "<i8")])
-_WINDOW = np.dtype([("name", "<u8"), ("id", "<i8")])
+#: What a payload holds: entries for other blocks, names seen, names still open, windows seen, names of
+#: several documents of the block with the first of these.
+ENTRIES, SEEN_NAMES, OPEN_NAMES, SEEN_WINDOWS, OWN_NAMES = range(5)
+_ENTRY = np.dtype([("name", "<u8"), ("id", "<i8")])
 
 
 def _sent(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -146,25 +187,19 @@ def _sent(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 
 def _packed(entries: np.ndarray) -> bytes:
-    """Entries column by column; ids as small numbers into a list of those that occur."""
+    """Names, then ids as small numbers into a list of those that occur."""
     ids, which = np.unique(entries["id"], return_inverse=True)
     width = "<u2" if len(ids) <= 65536 else "<u4"
-    parts = [np.array([len(entries), len(ids)], "<i8").tobytes(), ids.tobytes(), which.astype(width).tobytes()]
-    return b"".join(parts + [entries[c].tobytes() for c in entries.dtype.names if c != "id"])
+    sizes = np.array([len(entries), len(ids)], "<i8")
+    return b"".join([sizes.tobytes(), ids.tobytes(), entries["name"].tobytes(), which.astype(width).tobytes()])
 
 
-def _unpacked(payload: bytes, kind: np.dtype) -> np.ndarray:
+def _unpacked(payload: bytes) -> np.ndarray:
     count, different = np.frombuffer(payload, "<i8", 2).tolist()
-    width = np.dtype("<u2" if different <= 65536 else "<u4")
     ids = np.frombuffer(payload, "<i8", different, 16)
-    at = 16 + 8 * different
-    out = np.zeros(count, kind)
-    out["id"] = ids[np.frombuffer(payload, width, count, at)]
-    at += count * width.itemsize
-    for c in kind.names:
-        if c != "id":
-            out[c] = np.frombuffer(payload, kind[c], count, at)
-            at += count * kind[c].itemsize
+    out = np.zeros(count, _ENTRY)
+    out["name"] = np.frombuffer(payload, "<u8", count, 16 + 8 * different)
+    out["id"] = ids[np.frombuffer(payload, "<u2" if different <= 65536 else "<u4", count, 16 + 8 * (different + count))]
     return out
 
 
@@ -176,12 +211,12 @@ def _dealt(entries: np.ndarray, bucket: np.ndarray, block: int) -> list[tuple[in
     return [(int(b), block, ENTRIES, _packed(entries[order[i:j]])) for b, i, j in zip(buckets, begin.tolist(), ends)]
 
 
-def _gathered(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All entries of a bucket and the block of each."""
-    parts, blocks = [np.zeros(0, kind)], [np.zeros(0, "int64")]
+    parts, blocks = [np.zeros(0, _ENTRY)], [np.zeros(0, "int64")]
     for block, what, payload in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "payload"))):
         if what == ENTRIES:
-            parts.append(_unpacked(payload, kind))
+            parts.append(_unpacked(payload))
             blocks.append(np.full(len(parts[-1]), block))
     return np.concatenate(parts), np.concatenate(blocks)
 
@@ -205,6 +240,11 @@ def _back(names: np.ndarray, blocks: np.ndarray, kind: int) -> list[tuple[int, i
     return [(-1, int(b), kind, names[order[i:j]].tobytes()) for b, i, j in zip(found, begin.tolist(), ends)]
 
 
+def _passed(table: pa.Table) -> pa.Table:
+    """What blocks tell themselves."""
+    return table.filter(pa.compute.not_equal(table.column("kind"), ENTRIES)).cast(_SENT)
+
+
 def _received(table: pa.Table, kind: int) -> np.ndarray:
     parts = [np.frombuffer(p, "uint64") for k, p in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()) if k == kind]
     return np.concatenate([*parts, np.zeros(0, "uint64")])
@@ -212,23 +252,24 @@ def _received(table: pa.Table, kind: int) -> np.ndarray:
 
 def _name_entries(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        block = Block(table)
-        entries = np.zeros(int(block.sent.sum()), _NAME)
-        anchor = block.anchor[block.place][block.sent]
-        entries["anchor"] = anchor >> np.uint64(32)
-        entries["name"], entries["id"] = block.names[block.sent], block.own_id()[block.sent]
-        return _sent(_dealt(entries, (anchor & np.uint64(0xFFFFFFFF)) % np.uint64(buckets), table.column("block")[0].as_py()))
+        number = table.column("block")[0].as_py()
+        entries, anchors, crowded, own = Block(table).entries()
+        rows = _dealt(entries, (anchors & np.uint64(0xFFFFFFFF)) % np.uint64(buckets), number)
+        home = number % buckets
+        return _sent(rows + [(home, number, OPEN_NAMES, crowded.tobytes()), (home, number, OWN_NAMES, _packed(own))])
 
     return run
 
 
 def _match_names(table: pa.Table) -> pa.Table:
-    entries, blocks = _gathered(table, _NAME)
+    entries, blocks = _gathered(table)
     later, head = _not_first(entries["name"], entries["id"])
-    _, where, count = np.unique(entries["anchor"][head], return_inverse=True, return_counts=True)
-    several = np.isin(entries["anchor"], entries["anchor"][head][(count > 1)[where]])
+    anchor = entries["name"] >> _HALF
+    found, count = np.unique(anchor[head], return_counts=True)
+    several = np.isin(anchor, found[count > 1])
     still = several & ~later
-    return _sent(_back(entries["name"][later], blocks[later], SEEN_NAMES) + _back(entries["name"][still], blocks[still], OPEN_NAMES))
+    rows = _back(entries["name"][later], blocks[later], SEEN_NAMES) + _back(entries["name"][still], blocks[still], OPEN_NAMES)
+    return pa.concat_tables([_sent(rows), _passed(table)])
 
 
 def _window_entries(buckets: int):
@@ -239,7 +280,7 @@ def _window_entries(buckets: int):
         hashes, docs, _ = block.windows(_received(verdicts, OPEN_NAMES))
         order = np.lexsort((docs, hashes))
         hashes, begin = np.unique(hashes[order], return_index=True)
-        entries = np.zeros(len(hashes), _WINDOW)
+        entries = np.zeros(len(hashes), _ENTRY)
         entries["name"], entries["id"] = hashes, block.ids[docs[order][begin]]
         rows = _dealt(entries, hashes % np.uint64(buckets), number)
         kept = zip(verdicts.column("kind").to_pylist(), verdicts.column("payload").to_pylist())
@@ -249,20 +290,22 @@ def _window_entries(buckets: int):
 
 
 def _match_windows(table: pa.Table) -> pa.Table:
-    entries, blocks = _gathered(table, _WINDOW)
+    entries, blocks = _gathered(table)
     later, _ = _not_first(entries["name"], entries["id"])
-    passed = table.filter(pa.compute.not_equal(table.column("kind"), ENTRIES)).cast(_SENT)
-    return pa.concat_tables([_sent(_back(entries["name"][later], blocks[later], SEEN_WINDOWS)), passed])
+    return pa.concat_tables([_sent(_back(entries["name"][later], blocks[later], SEEN_WINDOWS)), _passed(table)])
 
 
 def removed_runs(block: Block, verdicts: pa.Table) -> list[np.ndarray]:
     """Per document of the block, in its order: rows (start, end) of the bytes to remove, ascending."""
-    seen = np.isin(block.names, _received(verdicts, SEEN_NAMES))
-    earlier = block.own_id()[block.which] < block.ids[block.doc] if len(block.doc) else np.zeros(0, bool)
-    whole = seen[block.which] | earlier if len(block.doc) else earlier
+    whole = _among(block.name, _received(verdicts, SEEN_NAMES))
+    own = np.sort(np.concatenate([np.zeros(0, _ENTRY), *[_unpacked(p) for k, p in zip(
+        verdicts.column("kind").to_pylist(), verdicts.column("payload").to_pylist()) if k == OWN_NAMES]]), order="name")
+    shared = np.flatnonzero(_among(block.name, own["name"]))
+    least = block.ids[own["id"][np.searchsorted(own["name"], block.name[shared])]]
+    whole[shared] |= least < block.ids[block.doc[shared]]
 
     hashes, docs, starts = block.windows(_received(verdicts, OPEN_NAMES))
-    elsewhere = np.isin(hashes, _received(verdicts, SEEN_WINDOWS))
+    elsewhere = _among(hashes, _received(verdicts, SEEN_WINDOWS))
     later, _ = _not_first(hashes, block.ids[docs]) if len(docs) else (elsewhere, None)
     hit = elsewhere | later
     # a window of a name's first place stands at the same distance in all places of that name in the document
@@ -283,10 +326,14 @@ def _places(block: Block, docs: np.ndarray, starts: np.ndarray) -> Iterator[tupl
     order = np.argsort(key, kind="stable")
     at = order[np.searchsorted(key[order], docs * (1 << 40) + starts, side="right") - 1]
     offsets = starts - block.first[at]
-    pair = block.doc.astype("int64") * len(block.names) + block.which
-    by = np.argsort(pair, kind="stable")
-    lo = np.searchsorted(pair[by], pair[at], side="left")
-    hi = np.searchsorted(pair[by], pair[at], side="right")
+    # the same stretch may stand in its document more than once
+    some = np.flatnonzero(_among(block.name, block.name[at]))
+    by = some[np.lexsort((block.doc[some], block.name[some]))]
+    pairs = np.empty(len(by), [("name", "<u8"), ("doc", "<i8")])
+    pairs["name"], pairs["doc"] = block.name[by], block.doc[by]
+    wanted = np.empty(len(at), pairs.dtype)
+    wanted["name"], wanted["doc"] = block.name[at], block.doc[at]
+    lo, hi = np.searchsorted(pairs, wanted, side="left"), np.searchsorted(pairs, wanted, side="right")
     for d, offset, i, j in zip(docs.tolist(), offsets.tolist(), lo.tolist(), hi.tolist()):
         for a in block.first[by[i:j]].tolist():
             yield d, a + offset
@@ -332,7 +379,7 @@ def find_passages(docs: DataFrame, into: str = "passages", id_col: str = "doc_id
     The texts are shuffled once, by block; the three passes over them read that one shuffle.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = cells(size, block_bytes)
+    blocks, buckets = cells(size, block_bytes), cells(size, BUCKET_BYTES)
     rest = [c for c in docs.columns if c != text_col]
     number = F.pmod(F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.lit(0)), F.lit(blocks))
     without_id = F.pmod(F.xxhash64(F.col(text_col), F.lit(1)), F.lit(blocks))
@@ -341,9 +388,9 @@ def find_passages(docs: DataFrame, into: str = "passages", id_col: str = "doc_id
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         text_bytes(text_col).alias("text"), F.struct(*rest).alias("rest")).repartition(blocks, "block")
 
-    names = texts.groupBy("block").applyInArrow(_name_entries(blocks), SENT)
+    names = texts.groupBy("block").applyInArrow(_name_entries(buckets), SENT)
     verdicts = names.groupBy("bucket").applyInArrow(_match_names, SENT)
-    windows = texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_window_entries(blocks), SENT)
+    windows = texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_window_entries(buckets), SENT)
     verdicts = windows.groupBy("bucket").applyInArrow(_match_windows, SENT)
     schema = T.StructType().add("rest", texts.schema["rest"].dataType).add("found", FOUND)
     found = texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_finish, schema)
