@@ -78,7 +78,7 @@ class WordTable(dict):
     One per task.  ``numbers`` starts it anew beyond ``limit`` words, so that it stays bounded.
     """
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
         self.values = np.zeros(1024, "uint64")
 

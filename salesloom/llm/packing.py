@@ -33,7 +33,7 @@ from salesloom.session import staged
 CAPACITY = 2048
 CLOSING_ID = 0
 #: Words remembered per Python process; beyond it the memory starts anew.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 300_000
 #: Punctuation that stands apart from the letters before it.
 CLOSING = ".,;:!?*#$%&|"
 ROWS_PER_CELL = 25_000
