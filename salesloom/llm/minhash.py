@@ -7,10 +7,12 @@ each minimum only the low ``BITS`` bits are kept, packed into longs.  The simila
 pair is estimated by counting equal groups of bits, less those that agree by chance, and pairs
 that may reach the threshold are confirmed on the full shingle sets.
 
-Within a bucket of a band, members are compared with one pivot, never with each other.  Buckets
-whose members did not all come together are split by further bands and get new pivots, until each
-is together or a single pair that was compared.  A pair at the threshold shares no band with
-probability 3e-5 (0.8) or 3e-8 (0.85), and some fifteen bands on average.
+Within a bucket of a band, members are first compared with a few pivots, one after the other; what
+is linked anywhere has one label everywhere.  In buckets that still hold several labels, all members
+of different labels are compared: pair by pair in small buckets, elsewhere in cells of bounded size,
+every cell with every other, by counting common shingles.  So each pair that shares a band is
+compared or already connected.  A pair at the threshold shares no band with probability 3e-5 (0.8)
+or 3e-8 (0.85), and some fifteen bands on average.
 
 Defined results: texts without words and null texts have an empty set and are linked with nothing;
 rows with one ``doc_id`` count as one document; rows without ``doc_id`` never stand for a group;
@@ -36,6 +38,12 @@ FUNCTIONS = 320
 #: Groups of bits in one long, and the lowest bit of each group.
 PER_LONG = 64 // BITS
 LOW_BITS = sum(1 << (BITS * k) for k in range(PER_LONG))
+#: Rounds in which buckets are compared with one pivot.
+PIVOTS = 3
+#: Open buckets up to this size are compared pair by pair.
+FEW = 16
+#: Members of larger buckets meet in cells of about so many rows or bytes of shingles.
+CELL_ROWS, CELL_BYTES = 512, 2_000_000
 #: Standard deviations of the estimate that a candidate may lie below the threshold.
 SLACK = 5
 
@@ -165,14 +173,18 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     names = scratch.keep(classes.select("key", "rid", "n"), "names")
     scratch.drop(signed, classes)
 
-    edges = []
-    while not members.isEmpty():
-        links = scratch.keep(_links(members, signs, sets, percent), "links")
-        edges.append(links)
-        before, members = members, scratch.keep(_next_members(members, links, signs), "members")
+    edges, labels = [], names.select(F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
+    for turn in range(PIVOTS):
+        if members.isEmpty():
+            break
+        edges.append(scratch.keep(_links(_pivot_pairs(members), signs, sets, percent), "links"))
+        labels = components(reduce(DataFrame.union, edges))
+        before, members = members, scratch.keep(_next_members(members, labels, turn), "members")
         scratch.drop(before)
-    labels = components(reduce(DataFrame.union, edges)) if edges else names.select(
-        F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
+    if not members.isEmpty():
+        found = _links(_pairs(members.filter(F.col("n") <= FEW)), signs, sets, percent)
+        edges.append(scratch.keep(found.union(_links_of_cells(members.filter(F.col("n") > FEW), sets, percent)), "links"))
+        labels = components(reduce(DataFrame.union, edges))
     scratch.drop(members, signs, sets, *edges)
 
     where = names.join(labels, names["rid"] == labels["node"], "left").select(
@@ -181,10 +193,20 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     return placed.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _links(members: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of a member and its pivot that the full sets confirm."""
-    pairs = members.filter("label != pivot_label").select(
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of a member and its pivot."""
+    return members.filter("label != pivot_label").select(
         F.greatest("rid", "pivot").alias("a"), F.least("rid", "pivot").alias("b")).distinct()
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of members of one bucket that have different labels."""
+    one, other = members.select("bucket", "rid", "label").toDF("bucket", "a", "la"), members.select("bucket", "rid", "label").toDF("bucket", "b", "lb")
+    return one.join(other, "bucket").filter("a > b and la != lb").select("a", "b").distinct()
+
+
+def _links(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that the full sets confirm."""
     of = signs.select("rid", "signature")
     likely = pairs.join(of.toDF("a", "sa"), "a").join(of.toDF("b", "sb"), "b").filter(
         estimated(F.col("sa"), F.col("sb")) >= _cut(percent)).select("a", "b")
@@ -192,24 +214,94 @@ def _links(members: DataFrame, signs: DataFrame, sets: DataFrame, percent: int)
     return found.filter(_confirm(percent)("set_a", "set_b")).select("a", "b")
 
 
-def _next_members(members: DataFrame, links: DataFrame, signs: DataFrame) -> DataFrame:
-    """Members of buckets that have not come together, in smaller buckets and with new pivots.
+def _next_members(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets that have not come together, with their labels and new pivots.
+
+    A bucket of two was decided by its one comparison, and of buckets with the same members one is kept.
+    """
+    after = members.select("bucket", "rid", "n").join(labels, F.col("rid") == F.col("node"), "left").select(
+        "bucket", "rid", "n", F.coalesce("component", "rid").alias("label"))
+    mark = F.xxhash64("rid", F.lit(turn)).cast("decimal(20,0)")
+    choice = F.min(F.struct(F.xxhash64("rid", "bucket", F.lit(turn)), F.col("rid").alias("rid"), F.col("label").alias("label")))
+    wide = after.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("n"),
+                                       F.min("rid").alias("first"), F.max("rid").alias("last"), F.sum(mark).alias("marks"), choice.alias("p"))
+    still = wide.filter("lo < hi and n > 2").groupBy("n", "first", "last", "marks").agg(F.min(F.struct("bucket", "p")).alias("of"))
+    chosen = still.select("of.bucket", F.col("of.p.rid").alias("pivot"), F.col("of.p.label").alias("pivot_label"))
+    return after.join(chosen, "bucket").select("bucket", "rid", "n", "label", "pivot", "pivot_label")
+
+
+def _links_of_cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that connect whatever similar members of one bucket connect.
 
-    A member that is linked takes its pivot's label; a bucket with several labels is open.  A bucket of two was
-    decided by its one comparison.  Others are split by a further band.
+    A label with many members has cells of its own, which need not meet each other; small labels share cells.
     """
-    joined = members.join(links.withColumn("hit", F.lit(True)), (F.greatest("rid", "pivot") == F.col("a"))
-                          & (F.least("rid", "pivot") == F.col("b")), "left")
-    after = joined.select("bucket", "rid", "n", F.when(F.col("hit"), F.col("pivot_label")).otherwise(F.col("label")).alias("label"))
-    wide = after.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("n"))
-    still = wide.filter("lo < hi and n > 2").select("bucket")
-    rows = after.select("bucket", "rid", "label").join(still, "bucket").join(signs.select("rid", "bands"), "rid")
-    band = F.element_at("bands", (F.pmod(F.xxhash64("bucket"), F.lit(BANDS)) + 1).cast("int"))
-    finer = rows.select(F.xxhash64("bucket", band).alias("bucket"), "rid", "label")
-    choice = F.min(F.struct(F.xxhash64("rid", "bucket"), F.col("rid").alias("rid"), F.col("label").alias("label")))
-    chosen = finer.groupBy("bucket").agg(choice.alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-    chosen = chosen.filter("lo < hi").select("bucket", "n", F.col("p.rid").alias("pivot"), F.col("p.label").alias("pivot_label"))
-    return finer.join(chosen, "bucket").select("bucket", "rid", "n", "label", "pivot", "pivot_label")
+    weight = F.octet_length("set") / F.lit(float(CELL_BYTES)) + F.lit(1.0 / CELL_ROWS)
+    rows = members.select("bucket", "rid", "label").join(sets.select("rid", weight.alias("weight")), "rid")
+    of_label = rows.groupBy("bucket", "label").agg(F.sum("weight").alias("weight"))
+    shared = of_label.filter("weight <= 1").groupBy("bucket").agg(F.ceil(F.sum("weight")).alias("shared"))
+    dealt = of_label.join(shared, "bucket", "left").select("bucket", "label", "shared", F.when(
+        F.col("weight") > 1, F.ceil("weight")).alias("own"))
+    cell = F.when(F.col("own").isNull(), F.xxhash64(F.pmod(F.xxhash64("label"), F.col("shared")))).otherwise(
+        F.xxhash64("label", F.pmod(F.xxhash64("rid"), F.col("own"))))
+    placed = rows.join(dealt, ["bucket", "label"]).select("bucket", "rid", "label", cell.alias("cell"), F.when(
+        F.col("own").isNotNull(), F.col("label")).alias("only"))
+    cells = placed.select("bucket", "cell", "only").distinct()
+    meet = cells.toDF("bucket", "c", "oc").join(cells.toDF("bucket", "d", "od"), "bucket").filter(
+        "c <= d and (oc is null or od is null or oc != od)").select("bucket", "c", "d")
+    task = F.xxhash64("bucket", "c", "d").alias("task")
+    left = meet.select("bucket", F.col("c").alias("cell"), task, F.lit(0).alias("side"))
+    right = meet.filter("c < d").select("bucket", F.col("d").alias("cell"), task, F.lit(1).alias("side"))
+    sent = placed.join(left.union(right), ["bucket", "cell"]).select("task", "side", "rid", "label").join(sets, "rid")
+
+    def run(table: pa.Table) -> pa.Table:
+        side, rid, label = (table.column(c).to_numpy() for c in ("side", "rid", "label"))
+        found = connecting([np.frombuffer(x.as_buffer(), "uint64") for x in table.column("set")], side, label, percent)
+        a, b = (np.array([p[k] for p in found], "int64") for k in (0, 1))
+        return pa.table({"a": pa.array(np.maximum(rid[a], rid[b])), "b": pa.array(np.minimum(rid[a], rid[b]))})
+
+    return sent.select("task", "side", "rid", "label", "set").groupBy("task").applyInArrow(run, "a long, b long")
+
+
+def common_shingles(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 2048) -> np.ndarray:
+    """How many shingles each of the sets ``rows`` shares with each of the sets ``columns``."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    group = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])) - 1
+    several = np.bincount(group)[group] > 1
+    group, owner = np.unique(group[several], return_inverse=True)[1], owner[several]
+    both = np.zeros((len(rows), len(columns)))
+    for at in range(0, int(group[-1]) + 1 if len(group) else 0, width):
+        i, j = np.searchsorted(group, (at, at + width))
+        holds = np.zeros((len(sets), width), "float32")
+        holds[owner[i:j], group[i:j] - at] = 1
+        both += holds[rows] @ holds[columns].T
+    return both
+
+
+def connecting(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Similar pairs of the two sides (of the one, if there is one) that connect different labels, no more than needed."""
+    rows = np.flatnonzero(side == 0)
+    columns = np.flatnonzero(side == 1) if side.any() else rows
+    size = np.array([len(s) for s in sets])
+    both = common_shingles(sets, rows, columns)
+    alike = 100 * both >= percent * (size[rows][:, None] + size[columns][None, :] - both)
+    alike &= label[rows][:, None] != label[columns][None, :]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    found = []
+    for k, m in np.argwhere(alike).tolist():
+        a, b = int(rows[k]), int(columns[m])
+        x, y = top(int(label[a])), top(int(label[b]))
+        if x != y:
+            root[x] = y
+            found.append((a, b))
+    return found
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

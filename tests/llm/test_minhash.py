@@ -99,6 +99,44 @@ def test_buckets_that_their_pivot_leaves_apart_are_split(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.link(docs, 3, 85).collect()} == expected
 
 
+def test_pairs_within_a_family_just_below_the_threshold(spark):
+    """No pivot links anything (0.79 similar); 100 planted pairs are 0.82 similar."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    tails = [[f"x{k}a{i}" for i in range(13)] for k in range(900)]
+    tails += [tails[k][:2] + [f"y{k}a{i}" for i in range(11)] for k in range(100)]
+    texts = {k: " ".join(base + tail) for k, tail in enumerate(tails)}
+    rows = list(texts.items())
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert got == {k: k - 900 if k >= 900 else k for k in texts}
+
+
+@pytest.mark.parametrize("width", [7, 4096])
+def test_cells_connect_what_similar_pairs_connect(width):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60), "uint64")) for _ in range(40)]
+    sides = rng.integers(0, 2, 40)
+    rows, columns = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    both = minhash.common_shingles(sets, rows, columns, width)
+    assert (both == [[len(np.intersect1d(sets[a], sets[b])) for b in columns] for a in rows]).all()
+    label = rng.integers(0, 30, 40)
+    for side in (sides, sides * 0):
+        alike = {(a, b) for a in range(40) for b in range(40) if (not side.any() or side[a] < side[b]) and label[a] != label[b]
+                 and 100 * len(np.intersect1d(sets[a], sets[b])) >= 50 * len(np.union1d(sets[a], sets[b]))}
+        found = minhash.connecting(sets, side, label, 50)
+        assert alike and set(found) <= alike
+
+        def joined(pairs):
+            part = {int(x): {int(x)} for x in label}
+            for a, b in pairs:
+                one = part[int(label[a])] | part[int(label[b])]
+                part.update(dict.fromkeys(one, one))
+            return part
+
+        assert joined(found) == joined(alike)
+
+
 def test_estimate_is_close(spark):
     rng = np.random.default_rng(1)
     functions = minhash._functions()
