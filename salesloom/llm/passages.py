@@ -14,8 +14,8 @@ with one anchor form a stretch (some 14 windows).  Then
 Documents are dealt into blocks of some MB by their id; a block names each of its stretches and
 windows once, with its smallest document, so a passage that a third of all documents share costs one
 entry per block.  Anchors with many stretches in one block go straight to the second step.
-Hashes of 64 bits stand for stretches and windows (xxh3; of a stretch, 32 bits are its anchor's), besides the
-bits that chose the bucket where they meet, whose number grows with the input.
+Hashes of 64 bits of their bytes stand for stretches and windows (xxh3); half the anchor travels beside a
+stretch's, to find those that share it.
 
 Defined results: null and empty texts have no bytes; rows with one id leave each other alone; rows
 without an id come after all others and leave each other alone; an empty table gives no rows;
@@ -80,7 +80,7 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, anchor, name, first and last window of every stretch of some texts.
 
-    The name is half the anchor, half a hash of the bytes.
+    The name is a hash of the bytes.
     """
     whole, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
     if len(whole) < SIZE:
@@ -100,7 +100,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     names = np.fromiter((digest(whole[i:j]) for i, j in zip(first.tolist(), (last + SIZE).tolist())), "uint64", len(first))
     doc = np.searchsorted(ends, first, side="right")
     start = (ends - [len(t) for t in texts])[doc]
-    return doc, anchors, anchors >> _HALF << _HALF | names >> _HALF, first - start, last - start
+    return doc, anchors, names, first - start, last - start
 
 
 def window_hashes(text: bytes, first: int, last: int) -> list[int]:
@@ -144,7 +144,8 @@ class Block:
         many = np.empty(len(order), bool)
         many[order] = (np.bincount(group) > MANY)[group]
         sent = ~many | (rank < 2)
-        entries = np.zeros(int(sent.sum()), _ENTRY)
+        entries = np.zeros(int(sent.sum()), _STRETCH)
+        entries["anchor"] = anchor[sent] >> _HALF
         entries["name"], entries["id"] = names[sent], self.ids[self.doc[place[sent]]]
         again = count > 1
         local = np.zeros(int(again.sum()), _ENTRY)
@@ -179,6 +180,7 @@ _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.in
 #: several documents of the block with the first of these.
 ENTRIES, SEEN_NAMES, OPEN_NAMES, SEEN_WINDOWS, OWN_NAMES = range(5)
 _ENTRY = np.dtype([("name", "<u8"), ("id", "<i8")])
+_STRETCH = np.dtype([("name", "<u8"), ("id", "<i8"), ("anchor", "<u4")])
 
 
 def _sent(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -187,19 +189,25 @@ def _sent(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 
 def _packed(entries: np.ndarray) -> bytes:
-    """Names, then ids as small numbers into a list of those that occur."""
-    ids, which = np.unique(entries["id"], return_inverse=True)
-    width = "<u2" if len(ids) <= 65536 else "<u4"
-    sizes = np.array([len(entries), len(ids)], "<i8")
-    return b"".join([sizes.tobytes(), ids.tobytes(), entries["name"].tobytes(), which.astype(width).tobytes()])
+    """The ids that occur and how many entries each has, then names, and anchors where there are any, in their order."""
+    entries = entries[np.argsort(entries["id"], kind="stable")]
+    ids, count = np.unique(entries["id"], return_counts=True)
+    width = next(w for w in (1, 2, 4) if not len(count) or count.max() < 256 ** w)
+    sizes = np.array([len(entries), len(ids), width, "anchor" in entries.dtype.names], "<i8")
+    anchors = entries["anchor"].tobytes() if sizes[3] else b""
+    return b"".join([sizes.tobytes(), ids.tobytes(), entries["name"].tobytes(), anchors, count.astype(f"<u{width}").tobytes()])
 
 
 def _unpacked(payload: bytes) -> np.ndarray:
-    count, different = np.frombuffer(payload, "<i8", 2).tolist()
-    ids = np.frombuffer(payload, "<i8", different, 16)
-    out = np.zeros(count, _ENTRY)
-    out["name"] = np.frombuffer(payload, "<u8", count, 16 + 8 * different)
-    out["id"] = ids[np.frombuffer(payload, "<u2" if different <= 65536 else "<u4", count, 16 + 8 * (different + count))]
+    count, different, width, anchors = np.frombuffer(payload, "<i8", 4).tolist()
+    at = 32 + 8 * different
+    out = np.zeros(count, _STRETCH if anchors else _ENTRY)
+    out["name"] = np.frombuffer(payload, "<u8", count, at)
+    at += 8 * count
+    if anchors:
+        out["anchor"] = np.frombuffer(payload, "<u4", count, at)
+        at += 4 * count
+    out["id"] = np.repeat(np.frombuffer(payload, "<i8", different, 32), np.frombuffer(payload, f"<u{width}", different, at))
     return out
 
 
@@ -211,9 +219,9 @@ def _dealt(entries: np.ndarray, bucket: np.ndarray, block: int) -> list[tuple[in
     return [(int(b), block, ENTRIES, _packed(entries[order[i:j]])) for b, i, j in zip(buckets, begin.tolist(), ends)]
 
 
-def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All entries of a bucket and the block of each."""
-    parts, blocks = [np.zeros(0, _ENTRY)], [np.zeros(0, "int64")]
+    parts, blocks = [np.zeros(0, kind)], [np.zeros(0, "int64")]
     for block, what, payload in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "payload"))):
         if what == ENTRIES:
             parts.append(_unpacked(payload))
@@ -262,9 +270,9 @@ def _name_entries(buckets: int):
 
 
 def _match_names(table: pa.Table) -> pa.Table:
-    entries, blocks = _gathered(table)
+    entries, blocks = _gathered(table, _STRETCH)
     later, head = _not_first(entries["name"], entries["id"])
-    anchor = entries["name"] >> _HALF
+    anchor = entries["anchor"]
     found, count = np.unique(anchor[head], return_counts=True)
     several = np.isin(anchor, found[count > 1])
     still = several & ~later
@@ -290,7 +298,7 @@ def _window_entries(buckets: int):
 
 
 def _match_windows(table: pa.Table) -> pa.Table:
-    entries, blocks = _gathered(table)
+    entries, blocks = _gathered(table, _ENTRY)
     later, _ = _not_first(entries["name"], entries["id"])
     return pa.concat_tables([_sent(_back(entries["name"][later], blocks[later], SEEN_WINDOWS)), _passed(table)])
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from salesloom.llm import passages
@@ -60,6 +62,33 @@ def test_find_equals_brute_force(spark, seed, block_bytes, monkeypatch):
     assert sorted(got, key=str) == sorted(((r[0], b) for r, b in zip(rows, brute(rows))), key=str)
 
 
+def in_this_process(blocks):
+    """What ``find_passages`` finds, its steps one after the other; ``blocks`` are lists of (id, text)."""
+    tables = [pa.table({"block": pa.array([n] * len(rows), pa.int32()), "id": pa.array([r[0] for r in rows], pa.int64()),
+                        "text": pa.array([r[1].encode() for r in rows], pa.binary()), "rest": pa.array([{"k": r[0]} for r in rows])})
+              for n, rows in enumerate(blocks)]
+    of = lambda verdicts, n: verdicts.filter(pc.equal(verdicts.column("block"), n))
+    verdicts = passages._match_names(pa.concat_tables([passages._name_entries(1)(t) for t in tables]))
+    windows = pa.concat_tables([passages._window_entries(1)(t, of(verdicts, n)) for n, t in enumerate(tables)])
+    verdicts = passages._match_windows(windows)
+    found = [r for n, t in enumerate(tables) for r in passages._finish(t, of(verdicts, n)).to_pylist()]
+    return {r["rest"]["k"]: (r["found"]["n_bytes"], r["found"]["n_removed"], len(r["found"]["spans"]),
+                             hashlib.sha256(r["found"]["kept"]).hexdigest()) for r in found}
+
+
+def test_all_bits_of_a_name_count(monkeypatch):
+    """Stretches at the edges of a passage share an anchor; their hashes may differ in any of the bits."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(120)
+    rows = [(i, noise(90) + passage + noise(90)) for i in range(40)]
+    digest = passages.xxhash.xxh3_64_intdigest
+    for kept in (0xFFFFFFFF, 0xFFFFFFFF << 32):
+        monkeypatch.setattr(passages.xxhash, "xxh3_64_intdigest", lambda b: digest(b) & kept)
+        for blocks in ([rows], [rows[::2], rows[1::2]], [[r] for r in rows]):
+            assert in_this_process(blocks) == {r[0]: b for r, b in zip(rows, brute(rows))}
+
+
 def test_crowded_anchors(spark):
     """One passage at another place of every document: its anchors have many different stretches."""
     rng = random.Random(3)
