@@ -316,7 +316,8 @@ def removed_runs(block: Block, verdicts: pa.Table) -> list[np.ndarray]:
     elsewhere = _among(hashes, _received(verdicts, SEEN_WINDOWS))
     later, _ = _not_first(hashes, block.ids[docs]) if len(docs) else (elsewhere, None)
     hit = elsewhere | later
-    # a window of a name's first place stands at the same distance in all places of that name in the document
+    # a window of a name's first place stands at the same distance in all places of that name in rows with its id;
+    # rows with larger ids have seen the whole name
     marks: list[list[tuple[int, int]]] = [[] for _ in block.texts]
     for d, a, b in zip(block.doc[whole].tolist(), block.first[whole].tolist(), block.last[whole].tolist()):
         marks[d].append((a, b + SIZE))
@@ -327,23 +328,24 @@ def removed_runs(block: Block, verdicts: pa.Table) -> list[np.ndarray]:
 
 
 def _places(block: Block, docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All places, in their documents, of windows that are given at the first place of a stretch."""
+    """All places, in the rows with the same id, of windows that are given at the first place of a stretch."""
     if not len(docs):
         return
     key = block.doc.astype("int64") * (1 << 40) + block.first
     order = np.argsort(key, kind="stable")
     at = order[np.searchsorted(key[order], docs * (1 << 40) + starts, side="right") - 1]
     offsets = starts - block.first[at]
-    # the same stretch may stand in its document more than once
+    # the same stretch may stand in its document more than once, and rows may share an id
     some = np.flatnonzero(_among(block.name, block.name[at]))
-    by = some[np.lexsort((block.doc[some], block.name[some]))]
-    pairs = np.empty(len(by), [("name", "<u8"), ("doc", "<i8")])
-    pairs["name"], pairs["doc"] = block.name[by], block.doc[by]
+    ids = block.ids[block.doc]
+    by = some[np.lexsort((ids[some], block.name[some]))]
+    pairs = np.empty(len(by), [("name", "<u8"), ("id", "<i8")])
+    pairs["name"], pairs["id"] = block.name[by], ids[by]
     wanted = np.empty(len(at), pairs.dtype)
-    wanted["name"], wanted["doc"] = block.name[at], block.doc[at]
+    wanted["name"], wanted["id"] = block.name[at], block.ids[docs]
     lo, hi = np.searchsorted(pairs, wanted, side="left"), np.searchsorted(pairs, wanted, side="right")
-    for d, offset, i, j in zip(docs.tolist(), offsets.tolist(), lo.tolist(), hi.tolist()):
-        for a in block.first[by[i:j]].tolist():
+    for offset, i, j in zip(offsets.tolist(), lo.tolist(), hi.tolist()):
+        for d, a in zip(block.doc[by[i:j]].tolist(), block.first[by[i:j]].tolist()):
             yield d, a + offset
 
 

@@ -89,6 +89,21 @@ def test_all_bits_of_a_name_count(monkeypatch):
             assert in_this_process(blocks) == {r[0]: b for r, b in zip(rows, brute(rows))}
 
 
+@pytest.mark.parametrize("block_bytes", [600, 10 ** 6])
+def test_rows_that_share_an_id_or_have_none_lose_parts(spark, block_bytes):
+    """They share only a part of their text with a smaller document."""
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(130)
+    twice, without, other = (noise(70) + passage + noise(80) for _ in range(3))
+    rows = [(3, noise(60) + passage + noise(60)), (5, twice), (5, twice), (5, noise(9) + twice), (7, other), (5, other),
+            (None, without), (None, without), (None, without + noise(30)), (None, noise(20) + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, (r.found.n_bytes, r.found.n_removed, len(r.found.spans), hashlib.sha256(r.found.kept).hexdigest()))
+           for r in passages.find_passages(docs, "found", block_bytes=block_bytes).collect()]
+    assert sorted(got, key=str) == sorted(((r[0], b) for r, b in zip(rows, brute(rows))), key=str)
+
+
 def test_crowded_anchors(spark):
     """One passage at another place of every document: its anchors have many different stretches."""
     rng = random.Random(3)
