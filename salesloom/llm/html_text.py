@@ -7,7 +7,8 @@ decision tree, trained on the small labelled table that ``EXAMPLES`` spells out,
 the rest.  Blocks of main text are joined in page order.
 
 Defined results: null and empty pages have no text; text outside any element is a block; unclosed
-elements end with what they stand in, unclosed comments and scripts at the page's end; repeated
+elements end with what they stand in, unclosed comments, scripts and styles at the page's end; icons,
+buttons and the like hold no text, and without an end tag they hold nothing at all; repeated
 pages are handled each on its own; an empty table gives no rows; further columns pass through.
 """
 
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|button|title)\b[^>]*+>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<more>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<more2>[^>]*+)>"
     r"|<[!?/][^>]*+>", re.S | re.I)
@@ -41,6 +41,12 @@ _SECTIONS = frozenset("article aside blockquote body div dl fieldset figure foot
                       "table td th tr ul li dd".split())
 _LISTS = frozenset("ul ol dl table".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Skipped to their end tags; what stands in them is no markup.
+_RAW = frozenset("script style title textarea iframe".split())
+_TO_THE_END = frozenset("script style".split())
+#: Elements whose text is none of the page's.
+_EMBEDDED = frozenset("noscript template svg object select button".split())
+_NOT_IN_BUTTONS = _HEADINGS | frozenset("article main section p table ul ol".split())
 _OTHER_TAGS = frozenset("nav aside footer form menu dialog".split())
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _OTHER_NAMES = re.compile(
@@ -62,14 +68,15 @@ class Flat:
 
 
 class Open(NamedTuple):
-    """An open element, and whether it stands in something other, in an article, in a link."""
+    """An open element, and whether it stands in something other, in an article, in a link, in something embedded."""
     tag: str
     other: bool
     main: bool
     linked: bool
+    empty: bool
 
 
-_OUTSIDE = Open("", False, False, False)
+_OUTSIDE = Open("", False, False, False, False)
 
 
 def flat_blocks(page: str) -> list[Flat]:
@@ -79,6 +86,7 @@ def flat_blocks(page: str) -> list[Flat]:
     links: list[str] = []
     stack: list[Open] = []
     is_open: Counter[str] = Counter()
+    last_end: dict[str, int] = {}
 
     def flush() -> None:
         words = html.unescape("".join(pieces)).split()
@@ -97,40 +105,62 @@ def flat_blocks(page: str) -> list[Flat]:
                 is_open.subtract(s.tag for s in stack[k:])
                 del stack[k:]
                 return
-            if stack[k].tag in _SECTIONS and tag not in _SECTIONS or stack[k].tag in _LISTS and tag in _CLOSES_ITSELF:
+            if tag in _EMBEDDED:
+                if not stack[k].empty:
+                    return
+            elif stack[k].tag in _SECTIONS and tag not in _SECTIONS or stack[k].tag in _LISTS and tag in _CLOSES_ITSELF:
                 return
 
     at, size, last = 0, len(page), page.rfind(">") + 1
     while at < size:
         found = _TOKEN.search(page, at, last)  # no markup ends after the last bracket
         text = page[at:found.start()] if found else page[at:].partition("<!--")[0]
-        if text:
+        if text and not (stack and stack[-1].empty):
             pieces.append(text)
             if stack and stack[-1].linked:
                 links.append(text)
         if not found or found[0].startswith("<!--") and not found[0].endswith("-->"):
             break
         at = found.end()
-        if found["raw"]:
-            ended = re.compile(rf"</{found['raw']}\s*>", re.I).search(page, at)
-            at = ended.end() if ended else size
-            flush() if found["raw"].lower() == "title" else pieces.append(" ")
-            continue
         tag = (found["tag"] or found["tag2"] or "").lower()
         if not tag:
             continue
+        ending, more = bool(found["end"] or found["end2"]), found["more"] or found["more2"] or ""
+        if tag in _RAW or tag in _EMBEDDED:
+            if not (stack and stack[-1].empty):
+                flush() if tag == "title" else pieces.append(" ")
+            if ending:
+                close(tag)
+                continue
+            if more.endswith("/"):
+                continue
+            ends = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I)
+            if tag not in last_end:
+                last_end[tag] = max((e.start() for e in ends.finditer(page, at)), default=-1)
+            if at > last_end[tag]:
+                at = size if tag in _TO_THE_END else at
+            elif tag in _RAW:
+                at = ends.search(page, at).end()
+            else:
+                close(tag) if tag in ("button", "select") else None
+                is_open[tag] += 1
+                stack.append((stack[-1] if stack else _OUTSIDE)._replace(tag=tag, empty=True))
+            continue
+        if stack and stack[-1].empty and not ending and tag in _NOT_IN_BUTTONS:
+            close("button")
+            close("select")
         if tag in _INLINE:
             if tag == "br":
                 pieces.append(" ")
-        else:
+        elif not (stack and stack[-1].empty and (not ending or stack[-1].tag == tag)):
             flush()
-        if found["end"] or found["end2"]:
+        if ending:
             close(tag)
         elif tag not in _VOID:
             if tag in _CLOSES_ITSELF or tag not in _INLINE:
                 close(tag if tag in _CLOSES_ITSELF else "p")
             is_open[tag] += 1
-            stack.append(_entered(tag, found["more"] or found["more2"] or "", stack[-1] if stack else _OUTSIDE))
+            stack.append(_entered(tag, more, stack[-1] if stack else _OUTSIDE))
     flush()
     return blocks
 
@@ -150,7 +180,7 @@ def _entered(tag: str, more: str, around: Open) -> Open:
         other = (other or tag in _OTHER_TAGS or role in _OTHER_ROLES or bool(_OTHER_NAMES.search(names))
                  or header and not main)
         main = main or tag in ("article", "main") or role in ("main", "article") or named_main
-    return Open(tag, other, main, around.linked or tag == "a")
+    return Open(tag, other, main, around.linked or tag == "a", around.empty)
 
 
 FEATURES = ("words", "link_share", "words_before", "link_share_before", "words_after", "link_share_after",

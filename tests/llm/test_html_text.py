@@ -52,6 +52,27 @@ def test_blocks(page, expected):
     assert text(page) == expected
 
 
+@pytest.mark.parametrize("piece", [
+    "<svg class=icon/>", "<svg viewBox='0 0 1 1' />", "<svg><title>no</title><path d='x'/></svg>", "<button>no</button>", "<button>", "<object data=x>",
+    "<iframe src=x>", "<iframe src='x'/>", "<iframe><p>no</p></iframe>", "<select><option>no<option>no</select>", "<template><article><p>no</article></template>",
+    "<button-group></button-group>", "<select-menu>", "<title-bar></title-bar>", "<object-view>", "<noscript><p>no</p></noscript>", "<textarea><p>no</textarea>",
+    "<script src=x />", "<button><div>no</div></button>", "<button><div>no</button>", "<svg><svg/></svg>", "<svg><svg>no</svg>no</svg>", "<title>"])
+def test_icons_and_buttons_take_no_text_with_them(piece):
+    end = "<footer><button>x</button><svg></svg><select></select></footer>"
+    for after in ("", end):
+        page = f"<div>{piece}</div><article><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></article>{after}"
+        assert text(page) == f"Title\n{PROSE}\n{PROSE}"
+        page = f"{piece}<article><h1>Title</h1><div>{piece}</div><p>{PROSE}</p></article>{after}"
+        assert text(page) == f"Title\n{PROSE}"
+    if piece.startswith(("<svg", "<button>no")):
+        assert text(f"<article><p>{PROSE}</p><p>one {piece} two</p></article>") == f"{PROSE}\none two"
+
+
+def test_unclosed_buttons_take_linear_time():
+    for page in ("<button>x" * 20_000, "<title>x" * 20_000, "<button>x" * 20_000 + "</button>", "<svg><p>x" * 5_000 + "</svg>"):
+        text(page)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<", ">", "&", "&amp;", "<!--", "-->", "<script>", "</script>",
                                  "'", '"', "<a href='", " text ", "<nav>", "</nav>", "<td", "é", "\x00", "<article>", "</article>"]), max_size=30).map("".join))
