@@ -3,7 +3,8 @@
 A page falls into flat blocks of text at block elements.  A block is described by its words and
 the share of them inside links, by the same of its neighbours, and by where it stands: inside an
 article, inside something named as a menu, footer, advert, notice, form or comment, a heading.  A
-decision tree, trained on the small labelled table that ``EXAMPLES`` spells out, tells main text from
+name counts unless it only modifies (has-sidebar, ad-free) or what bears it holds the page's main heading or an
+article with most of its words; remarks and further reading always stay out.  A decision tree, trained on the small labelled table that ``EXAMPLES`` spells out, tells main text from
 the rest.  Blocks of main text are joined in page order.
 
 Defined results: null and empty pages have no text; text outside any element is a block; unclosed
@@ -54,6 +55,11 @@ _OTHER_NAMES = re.compile(
     r"newsletter|subscri\w+|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|comments?|"
     r"respond|replies|disqus|related|recommend\w*|share|sharing|social|widgets?|login|signin|signup|search|pagination|pager)\b")
 _HEADER_NAMES = re.compile(r"\bheader\b")
+#: Names that say what a wrapper has, lacks or is a page of.
+_MODIFIED = re.compile(r"\A(?:has|no|not|with|without|is|show|hide)\b|\b(?:free|open|opened|closed|page|layout|template|enabled|disabled)\Z")
+_REMARKS = re.compile(r"\b(?:comments?|respond|replies|disqus|related|recommend\w*)\b")
+#: Words outside links that a wrapper with the main heading has to hold.
+_ENOUGH = 25
 _MAIN_NAMES = re.compile(r"\b(?:article|content|post|entry|story|main|articlebody)\b")
 
 
@@ -65,23 +71,39 @@ class Flat:
     other: bool
     main: bool
     heading: bool
+    named: int = -1
+    title: bool = False
+
+
+@dataclass
+class Named:
+    """An element that is something other by its name alone, in which of these it stands, and what it holds."""
+    around: int
+    remarks: bool
+    words: int = 0
+    linked: int = 0
+    article: bool = False
+    title: bool = False
 
 
 class Open(NamedTuple):
-    """An open element, and whether it stands in something other, in an article, in a link, in something embedded."""
+    """An open element, and whether it stands in something other, in an article, in a link, in something embedded,
+    and the number of the innermost ``Named``."""
     tag: str
     other: bool
     main: bool
     linked: bool
     empty: bool
+    named: int
 
 
-_OUTSIDE = Open("", False, False, False, False)
+_OUTSIDE = Open("", False, False, False, False, -1)
 
 
 def flat_blocks(page: str) -> list[Flat]:
     """The text blocks of a page in order; scripts, styles and the like hold none."""
     blocks: list[Flat] = []
+    named: list[Named] = []
     pieces: list[str] = []
     links: list[str] = []
     stack: list[Open] = []
@@ -93,7 +115,7 @@ def flat_blocks(page: str) -> list[Flat]:
         if words:
             here = stack[-1] if stack else _OUTSIDE
             blocks.append(Flat(" ".join(words), len(words), len(html.unescape(" ".join(links)).split()), here.other, here.main,
-                               any(s.tag in _HEADINGS for s in stack[-3:])))
+                               any(s.tag in _HEADINGS for s in stack[-3:]), here.named, is_open["h1"] > 0))
         pieces.clear()
         links.clear()
 
@@ -160,27 +182,57 @@ def flat_blocks(page: str) -> list[Flat]:
             if tag in _CLOSES_ITSELF or tag not in _INLINE:
                 close(tag if tag in _CLOSES_ITSELF else "p")
             is_open[tag] += 1
-            stack.append(_entered(tag, more, stack[-1] if stack else _OUTSIDE))
+            stack.append(_entered(tag, more, stack[-1] if stack else _OUTSIDE, named))
     flush()
+    _settle(blocks, named)
     return blocks
 
 
-def _entered(tag: str, more: str, around: Open) -> Open:
+def _settle(blocks: list[Flat], named: list[Named]) -> None:
+    """Mark blocks in elements that are something other by name, but not by names around the page's main text."""
+    if not named:
+        return
+    title = next((b for b in blocks if b.title and not b.other), None)
+    for b in blocks:
+        if b.named >= 0:
+            n = named[b.named]
+            n.words, n.linked, n.title = n.words + b.words, n.linked + b.linked, n.title or b is title
+    for n in reversed(named):
+        if n.around >= 0:
+            up = named[n.around]
+            up.words, up.linked = up.words + n.words, up.linked + n.linked
+            up.article, up.title = up.article or n.article, up.title or n.title
+    total, other = sum(b.words for b in blocks), []
+    for n in named:
+        holds = n.title and n.words - n.linked >= _ENOUGH and 4 * n.words > total or n.article and 2 * n.words > total
+        other.append(n.remarks or not holds or n.around >= 0 and other[n.around])
+    for b in blocks:
+        b.other = b.other or b.named >= 0 and other[b.named]
+
+
+def _entered(tag: str, more: str, around: Open, named: list[Named]) -> Open:
     other, main = around.other, around.main
-    names, role = "", ""
+    names, plain, role, inner = "", "", "", around.named
     if "=" in more:
         for name, a, b, c in _ATTRIBUTE.findall(more):
             if name.lower() == "role":
                 role = (a or b or c).lower()
             else:
-                names += " " + re.sub(r"[-_]+", " ", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", a or b or c)).lower()
+                for token in (a or b or c).split():
+                    words = re.sub(r"[-_]+", " ", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token)).lower()
+                    names += " " + words
+                    plain += "" if _MODIFIED.search(words) else " " + words
     if tag not in ("html", "body"):
         named_main = bool(_MAIN_NAMES.search(names))
-        header = tag == "header" or bool(_HEADER_NAMES.search(names)) and not named_main
-        other = (other or tag in _OTHER_TAGS or role in _OTHER_ROLES or bool(_OTHER_NAMES.search(names))
-                 or header and not main)
+        other = other or tag in _OTHER_TAGS or role in _OTHER_ROLES or tag == "header" and not main
+        header = bool(_HEADER_NAMES.search(plain)) and not named_main and not main
+        if header or _OTHER_NAMES.search(plain):
+            named.append(Named(inner, bool(_REMARKS.search(plain))))
+            inner = len(named) - 1
+        if tag in ("article", "main") and inner >= 0 and not other:
+            named[inner].article = True
         main = main or tag in ("article", "main") or role in ("main", "article") or named_main
-    return Open(tag, other, main, around.linked or tag == "a", around.empty)
+    return Open(tag, other, main, around.linked or tag == "a", around.empty, inner)
 
 
 FEATURES = ("words", "link_share", "words_before", "link_share_before", "words_after", "link_share_after",
@@ -250,6 +302,9 @@ EXAMPLES = [
     f"<div role=banner>-Welcome to the site</div><div class=post-content><p>+{_LONG}</p><p>+Yes.</p></div><section class=sidebar><p>-{_LONG}</p></section>",
     f"<p>+{_LONG}</p>", "<p>+A page of a few plain words, about ten of them here.</p>", f"<div class=newsletter>-{_LONG}</div>",
     "<p><a>-Only a link</a></p>", "<footer><p>-Words</p></footer>", "<article>+Word</article>",
+    f"<div class='page has-sidebar'><article><h1>+Title</h1><p>+{_LONG}</p><p>+Short.</p></article><div class=sidebar><p>-{_LONG}</p></div></div>",
+    f"<div class=widget><article><h2>+Title</h2><p>+{_LONG} {_LONG}</p><p>+Yes.</p></article></div><div class=promo>-{_LONG}</div>",
+    f"<div id=search><ul class=menu><li><a>-One</a></ul><div><h1>+Title</h1><p>+{_LONG}</p><p>+{_LONG}</p></div><div class=comments><article>-{_LONG}</article></div></div>",
 ]
 
 

@@ -68,6 +68,26 @@ def test_icons_and_buttons_take_no_text_with_them(piece):
         assert text(f"<article><p>{PROSE}</p><p>one {piece} two</p></article>") == f"{PROSE}\none two"
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-sidebar", "layout ad-free", "post comments-open", "search-results-page",
+                                  "with-banner", "widget", "social story", "sidebar-layout", "menu"])
+def test_names_of_wrappers_do_not_discard_the_article(name):
+    remark = "Words of a reader that are as many as a paragraph of the story may have in it, or even some more."
+    for tag in ("article", "main", "div"):
+        story = f"<{tag}><h1>Title</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></{tag}>"
+        expected = ["Title", PROSE, "Short.", PROSE]
+        for page in (story, story + "<div class=ad>" + remark + "</div>", story + f"<section class=comments><article>{remark}</article></section>",
+                     f"<ul class=menu><li><a>One</a><li><a>Two</a></ul>{story}"):
+            for whole in (f"<body><div class='{name}'>{page}</div></body>", f"<div id=x class='{name}'><div class='{name}'>{page}</div></div>"):
+                got = text(whole).split("\n")
+                if tag == "div":  # short blocks are judged by their neighbours there
+                    got = [line for line in got if line not in ("Title", "Short.")]
+                assert got == [line for line in expected if tag != "div" or line == PROSE]
+
+
+def test_articles_in_remarks_stay_out():
+    assert text(f"<article><h1>Title</h1><p>{PROSE}</p></article><div class=comments><article><h1>No</h1><p>{PROSE} {PROSE} {PROSE}</p></article></div>") == f"Title\n{PROSE}"
+
+
 def test_unclosed_buttons_take_linear_time():
     for page in ("<button>x" * 20_000, "<title>x" * 20_000, "<button>x" * 20_000 + "</button>", "<svg><p>x" * 5_000 + "</svg>"):
         text(page)
