@@ -8,7 +8,8 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import chat, decontamination, html_text, language, minhash, packing, passages, quality, rules, urls
+from salesloom.llm import chat, decontamination, html_text, language, minhash, packing, passages, quality, rules, structure, urls
+from salesloom.llm.ordered import sorted_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +88,30 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults put in by a hash of conversation and turn; nulls are one space."""
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(text_of("conv_id"), F.lit(":"), text_of("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(text_of("text"), ".!?", "")).otherwise(text_of("text"))
+    role = F.when(fault == 4, "user").otherwise(text_of("role"))
+    times = F.when(fault == 3, 2).otherwise(1)
+    return turns.filter(fault != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    stretches = structure.stretched(damaged(turns))
+    plans = structure.plan_repairs(stretches)
+    lines = F.concat("role", F.lit(":"), "text")
+    digests = sorted_digest(structure.repaired_turns(stretches, plans), "conv_id", ["at", "n", "k"], lines, "\n", "repaired_sha256")
+    ids, whole = turns.select("conv_id").distinct(), structure.conversations(plans)
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    found = structure.joined_on(structure.joined_on(ids, whole, ["conv_id"]), digests, ["conv_id"])
+    return found.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_host_quality_rules": op2_host_quality_rules,
@@ -98,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
