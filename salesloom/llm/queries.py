@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from salesloom.llm import chat, decontamination, html_text, language, minhash, packing, passages, quality, rules, structure, urls
+from salesloom.llm import chat, decontamination, html_text, language, minhash, packing, passages, prefixes, quality, rules, structure, urls
 from salesloom.llm.ordered import sorted_digest
 
 
@@ -112,6 +112,24 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of conversations that begin as the first of five does, in the order of ``at``, and all their ids."""
+    filled = turns.filter(F.col("conv_id").isNotNull()).withColumns({c: F.coalesce(c, F.lit("")) for c in ("role", "text")})
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = filled.withColumn("n", F.row_number().over(order).cast("long"))
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    ids = turns.select("conv_id").filter(F.col("conv_id").isNotNull()).distinct()
+    givers = rows.filter("n < 9").select(F.col("conv_id").alias("giver"), "n", "role", "text")
+    borrowed = ids.withColumns({"giver": F.col("conv_id") - F.col("conv_id") % 5, "taken": taken}).join(givers, "giver").filter(F.col("n") <= F.col("taken"))
+    own = rows.filter(F.col("n") > taken).withColumn("n", F.col("n") + F.lit(1 << 40))
+    columns = ["conv_id", F.col("n").alias("at"), "role", "text"]
+    return borrowed.select(*columns).unionByName(own.select(*columns)), ids
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_nodes(*rebuilt(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_host_quality_rules": op2_host_quality_rules,
@@ -124,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -156,4 +175,32 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT row_number() OVER () AS k, * FROM split) s LEFT JOIN rules
             ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
         GROUP BY k, page_id, host, path""",
+    "op12_conversation_trie": r"""
+        WITH rows AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+            FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (
+            SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 AS h
+            FROM (SELECT DISTINCT conv_id AS c FROM rows)),
+        seq AS (
+            SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, n) AS d, md5(strlen(role) || ':' || role || text) AS turn, strlen(text) AS bytes
+            FROM (SELECT c, 0 AS part, n, role, text FROM ids JOIN rows ON conv_id = c - c % 5 AND n <= h
+                UNION ALL SELECT c, 1, n, role, text FROM ids JOIN rows ON conv_id = c AND n > h)),
+        way AS (
+            SELECT c, d, bytes, string_agg(turn, '') OVER (PARTITION BY c ORDER BY d) AS node FROM seq
+            UNION ALL SELECT c, 0, 0, '' FROM ids),
+        nodes AS (SELECT node, d, bytes, min(c) AS c, count(*) AS n FROM way GROUP BY ALL),
+        kids AS (SELECT left(node, 32 * (d - 1)) AS node, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+        below AS (
+            SELECT w.node, sum((v.n - 1) * v.bytes) AS saved, count(*) FILTER (v.node NOT IN (SELECT node FROM kids)) AS leaves
+            FROM nodes v JOIN way w ON w.c = v.c AND w.d <= v.d GROUP BY 1),
+        ends AS (
+            SELECT node, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS e
+            FROM (SELECT c, max_by(node, d) AS node FROM way GROUP BY 1) GROUP BY 1)
+        SELECT v.c AS conv_id, v.d AS depth, u.c AS parent_conv_id, v.n AS n_convs, coalesce(k, 0) AS n_children,
+            CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+        FROM nodes v LEFT JOIN kids USING (node) LEFT JOIN below USING (node) LEFT JOIN ends USING (node)
+        LEFT JOIN nodes u ON v.d > 0 AND u.d = v.d - 1 AND u.node = left(v.node, 32 * (v.d - 1))""",
 }
