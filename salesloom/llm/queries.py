@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from salesloom.llm import chat, decontamination, html_text, language, minhash, packing, passages, prefixes, quality, rules, structure, urls
+from salesloom.llm import chat, decontamination, html_text, language, minhash, packing, passages, prefixes, quality, rules, structure, substrings, urls
 from salesloom.llm.ordered import sorted_digest
 
 
@@ -130,6 +130,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.prefix_nodes(*rebuilt(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.find_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), "found")
+    return found.select("doc_id", "found.n_words", "found.n_removed", F.sha2("found.kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_host_quality_rules": op2_host_quality_rules,
@@ -143,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -203,4 +209,18 @@ ORACLE_SQL: dict[str, str] = {
             CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
         FROM nodes v LEFT JOIN kids USING (node) LEFT JOIN below USING (node) LEFT JOIN ends USING (node)
         LEFT JOIN nodes u ON v.d > 0 AND u.d = v.d - 1 AND u.node = left(v.node, 32 * (v.d - 1))""",
+    "op13_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        windows AS (
+            SELECT doc_id, unnest(range(len(w) - 19)) AS s, w FROM words WHERE len(w) >= 20),
+        named AS (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 20], ' ')) AS name FROM windows),
+        later AS (
+            SELECT doc_id, s FROM (SELECT doc_id, s, rank() OVER (PARTITION BY name ORDER BY doc_id, s) AS r FROM named) WHERE r > 1),
+        gone AS (SELECT DISTINCT doc_id, s + unnest(range(20)) AS i FROM later),
+        placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM words),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM words LEFT JOIN kept USING (doc_id)""",
 }
