@@ -480,6 +480,17 @@ def oracle_sql() -> dict[str, str]:
       SELECT x.user_id, CASE WHEN x.v IS NULL THEN '-' ELSE x.name END AS top_volume_name, coalesce(x.v, 0) AS top_volume,
         CASE WHEN y.r IS NULL THEN '-' ELSE y.name END AS top_revenue_name, coalesce({rnd('y.r', 2)}, 0) AS top_revenue
       FROM named x JOIN named y ON x.user_id = y.user_id AND x.a = 1 AND y.b = 1"""
+    gappy = f"""WITH {VEHICLES}, g AS (SELECT *, CASE WHEN upload_id % 4 <> 0 THEN sales_volume END AS v FROM vehicles), p AS (
+        SELECT user_id, count(*) AS n, count(*) FILTER (v > 0 AND sales_price > 0) AS valid, count(DISTINCT (v, sales_price)) AS pairs,
+          avg(v) AS mv, min(v) AS v0, max(v) AS v1, avg(sales_price) AS mp, min(sales_price) AS p0, max(sales_price) AS p1
+        FROM g WHERE v IS NOT NULL AND sales_price IS NOT NULL GROUP BY 1), s AS (
+        SELECT *, CASE WHEN valid >= 3 THEN 'ok' ELSE '有效数据不足（需 ≥3 条，当前 ' || valid || ' 条）' END AS status FROM p)"""
+    o["kmeans_by_user"] = f"""{gappy} SELECT user_id, n AS "rows", valid AS valid_rows, status,
+        CASE WHEN valid >= 3 THEN least(3, pairs) ELSE 0 END AS clusters, CASE WHEN valid >= 3 THEN n ELSE 0 END AS assigned,
+        CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS off_centre, false AS cost_differs FROM s"""
+    o["kmeans_summary_by_user"] = f"""{gappy} SELECT user_id, n AS "rows", {rnd('mp', 1)} AS avg_price, {rnd('mv', 1)} AS avg_sales,
+        {rnd('p0', 1)} AS price_min, {rnd('p1', 1)} AS price_max, {whole('v0')} AS sales_min, {whole('v1')} AS sales_max,
+        valid AS valid_rows, status, CAST(3 AS BIGINT) AS k FROM s"""
     o["segment_bars"] = f"""WITH s AS ({o['price_segments']}) SELECT bin, label, avg_sales,
       CAST(round(avg_sales * 100.0 / (SELECT max(avg_sales) FROM s)) AS BIGINT) AS pct FROM s"""
     o["brand_measures"] = f"""WITH {VEHICLES} SELECT brand, CAST(sum(sales_volume) AS BIGINT) AS total_sales,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from checks import bindings as b
 from salesloom.functions import dates, numbers, text
 from salesloom.operators import (
-    aggregates, charts, cleaning, clustering, correlation, filters, narrative, ranking, regression, tenants,
+    aggregates, charts, cleaning, clustering, correlation, filters, narrative, ranking, regression, tenant_clusters, tenants,
 )
 from salesloom.operators.spread import attach, count_groups, measure_profile
 from salesloom.plans import clean as jobs
@@ -753,6 +753,40 @@ def kmeans_summary(spark, d):
     return clustering.segment(b.vehicles(spark, d), 3).summary
 
 
+def _gappy(spark, d):
+    """Archived rows of which a fourth of the batches has no volumes."""
+    return b.vehicles(spark, d).withColumn("sales_volume", F.expr("CASE WHEN upload_id % 4 <> 0 THEN sales_volume END"))
+
+
+@query
+def kmeans_by_user(spark, d):
+    """K-means of every user at once, and what must hold of it: every row at its nearest centre, centres that are the means
+    of their rows, the stated inertia."""
+    rows, by = _gappy(spark, d), ["user_id"]
+    model = tenant_clusters.fit(rows, by, 3)
+    assigned = tenant_clusters.assign(rows, model, by).select("user_id", "x", "y", "cluster")
+    facts = model.filter("centres IS NOT NULL").select(F.col("user_id").alias("u"), "centres", "sx", "sy")
+    near = assigned.join(facts, F.col("user_id") == F.col("u")).drop("u")
+    gaps = F.transform("centres", lambda c: numbers.euclid((F.col("x") - c["price"]) / F.col("sx"), (F.col("y") - c["sales"]) / F.col("sy")))
+    own = near.withColumn("gap", F.get(gaps, "cluster")).withColumn("least", F.array_min(gaps))
+    per = own.groupBy("user_id", "cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") > F.col("least") + 1e-9).alias("misplaced"), F.sum(F.col("gap") * F.col("gap")).alias("cost"),
+        F.abs(F.avg((F.col("x") - F.get("centres", "cluster")["price"]) / F.col("sx"))).alias("dx"),
+        F.abs(F.avg((F.col("y") - F.get("centres", "cluster")["sales"]) / F.col("sy"))).alias("dy"))
+    held = per.groupBy(F.col("user_id").alias("u")).agg(
+        F.sum("n").alias("assigned"), F.sum("misplaced").alias("misplaced"), F.sum("cost").alias("cost"),
+        F.count_if(F.greatest("dx", "dy") > 1e-3).alias("off_centre"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return model.join(held, F.col("user_id") == F.col("u"), "left").select(
+        "user_id", "rows", "valid_rows", "status", F.coalesce(F.size("centres"), F.lit(0)).alias("clusters"), zero("assigned"), zero("misplaced"),
+        zero("off_centre"), F.coalesce(F.abs(F.col("cost") - F.col("inertia")) > 1e-6, F.lit(False)).alias("cost_differs"))
+
+
+@query
+def kmeans_summary_by_user(spark, d):
+    return tenant_clusters.segment(_gappy(spark, d), ["user_id"], 3).summary.drop("inertia", "rounds")
+
+
 # ------------------------------------------------------------------ charts and report
 
 @query

@@ -75,7 +75,7 @@ def overview(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
     if tenants is not None and by:
         wide = join_on(tenants.select(*by), wide, by, "left")
     dash = F.lit("-")
-    name = lambda s: F.coalesce(text.display_name(F.col(s)[roles.dim], F.col(s)[roles.item]), dash)
+    name = lambda s: F.when(F.col(s).isNotNull(), text.display_name(F.col(s)[roles.dim], F.col(s)[roles.item])).otherwise(dash)
     some = F.col("total_rows") > 0
     return wide.select(
         *by,

@@ -30,6 +30,16 @@ def test_overview_of_nothing(spark, cars):
     assert by_user[1]["total_rows"] == 100
 
 
+def test_overview_of_groups_without_measures(spark):
+    rows = [(1, "a", "x", None, 2.0, "油车"), (2, "a", "x", 5, None, "油车"), (3, None, "y", 4, 1.5, "油车"), (4, None, None, 4, 1.5, "油车")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["user_id"]: r for r in aggregates.overview(df, by=["user_id"]).collect()}
+    assert [got[1][c] for c in ("top_volume_name", "top_volume", "top_revenue_name", "top_revenue", "avg_price")] == ["-", 0, "-", 0.0, 2.0]
+    assert [got[2][c] for c in ("top_volume_name", "top_volume", "top_revenue_name", "top_revenue")] == ["a x", 5, "-", 0.0]
+    assert [got[3][c] for c in ("top_volume_name", "top_revenue_name", "top_dim_by_rows")] == ["y", "y", "-"]
+    assert got[4]["top_volume_name"] == "" and got[4]["top_volume"] == 4
+
+
 def test_shares_never_exceed_whole(cars):
     for r in aggregates.volume_shares(cars[1], by=["user_id"]).collect():
         assert sum(r[c] for c in ("oil", "electric", "hybrid")) == pytest.approx(100, abs=0.2)
