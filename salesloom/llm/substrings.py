@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesloom.llm.common import WordTable, cells, mixed, text_bytes
+from salesloom.llm.common import cells, mixed, text_bytes
 from salesloom.llm.fm_index import FmIndex
 
 WINDOW, GRAM = 20, 8
@@ -77,22 +77,56 @@ def word_pieces(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+_BYTES = np.random.default_rng(13).integers(0, 2 ** 63, 256, "int64").astype("uint64") * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(int(_BASE), -1, 2 ** 64))
+
+
 class Piece:
     """Words of one or several documents one after the other, and what is known of their windows.
 
     ``anchors``, after ``windows``: the anchor at each of its places, also where windows share one."""
 
+    #: powers of the base and of its inverse, as far as they were needed
+    powers = backwards = np.ones(1, "uint64")
+
     def __init__(self):
-        self.words: list[bytes] = []
-        #: per document: its number, where it begins in ``words``, and which of its words that is
+        self.parts: list[bytes] = []
+        self.size = 0
+        #: per document: its number, its first word here, and which of its words that is
         self.docs: list[tuple[int, int, int]] = []
 
-    def windows(self, table: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in ``words`` where windows begin, their anchors, and hashes of the words."""
-        hashes = table.hashes(self.words)
-        if len(hashes) < WINDOW:
-            self.anchors = np.zeros(0, "uint64")
-            return np.zeros(0, "int64"), self.anchors, hashes
+    def add(self, words: list[bytes]) -> None:
+        if words:
+            self.parts.append(b" ".join(words))
+            self.size += len(words)
+
+    def text(self, word: int, count: int) -> bytes:
+        """``count`` words from a word on, joined by spaces."""
+        return self.buffer[self.starts[word]:self.ends[word + count - 1]]
+
+    def hashes(self) -> np.ndarray:
+        """Hashes of all words: sums of byte values times powers of a base, moved to the word's start."""
+        cls = Piece
+        if len(cls.powers) <= len(self.buffer):
+            room = np.ones(2 * len(self.buffer) + 1, "uint64")
+            room[1:] = _BASE
+            cls.powers = np.multiply.accumulate(room)
+            room[1:] = _BACK
+            cls.backwards = np.multiply.accumulate(room)
+        sums = np.zeros(len(self.buffer) + 1, "uint64")
+        np.cumsum(_BYTES[np.frombuffer(self.buffer, "uint8")] * cls.powers[:len(self.buffer)], out=sums[1:])
+        return mixed((sums[self.ends] - sums[self.starts]) * cls.backwards[self.starts])
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words of the windows, their anchors, and hashes of all words."""
+        self.buffer = b" ".join(self.parts)
+        spaces = np.flatnonzero(np.frombuffer(self.buffer, "uint8") == 32)
+        self.starts, self.ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(self.buffer))
+        self.anchors = np.zeros(0, "uint64")
+        if self.size < WINDOW:
+            return np.zeros(0, "int64"), self.anchors, self.anchors
+        hashes = self.hashes()
         runs, wide = run_hashes(hashes, GRAM), WINDOW - GRAM + 1
         least = least_of_runs(runs, wide)
         inside = np.ones(len(least), bool)
@@ -118,15 +152,15 @@ def pieces(texts: list[bytes]) -> Iterator[Piece]:
     for number, text in enumerate(texts):
         done, tail = 0, []
         for words in word_pieces(text):
-            if len(piece.words) >= PIECE_WORDS:
+            if piece.size >= PIECE_WORDS:
                 yield piece
                 piece = Piece()
             if not piece.docs or piece.docs[-1][0] != number:
-                piece.docs.append((number, len(piece.words), done - len(tail)))
-                piece.words += tail
-            piece.words += words
+                piece.docs.append((number, piece.size, done - len(tail)))
+                piece.add(tail)
+            piece.add(words)
             done += len(words)
-            tail = [*tail, *words][-WINDOW + 1:]
+            tail = [*tail, *words[-WINDOW + 1:]][-WINDOW + 1:]
     if piece.docs:
         yield piece
 
@@ -182,10 +216,10 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
 
 def _anchors(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        number, words = table.column("block")[0].as_py(), WordTable()
+        number = table.column("block")[0].as_py()
         found, counts = np.zeros(0, "uint64"), np.zeros(0, "int64")
         for piece in pieces(_texts(table)[1]):
-            piece.windows(words)
+            piece.windows()
             found, back = np.unique(np.concatenate([found, piece.anchors]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, np.ones(len(piece.anchors))]), len(found))
         out = np.empty(len(found), _ANCHOR)
@@ -222,14 +256,14 @@ def _stretches(shards: int):
     def run(table: pa.Table, verdicts: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _sent([])
-        number, table_of = table.column("block")[0].as_py(), WordTable()
+        number = table.column("block")[0].as_py()
         ids, texts, _ = _texts(table)
         repeated, crowd = (np.sort(np.concatenate([np.zeros(0, "uint64"), *[np.frombuffer(p, "<u8") for _, p in _payloads(verdicts, k)]]))
                            for k in (REPEATED, CROWD))
         entries: dict[bytes, int] = {}
         home, windows, places = [], [], []
         for piece in pieces(texts):
-            at, anchors, hashes = piece.windows(table_of)
+            at, anchors, hashes = piece.windows()
             first, count = _runs(at, anchors)
             alone = _among(anchors, crowd)
             kept = _among(anchors[first], repeated)
@@ -241,9 +275,8 @@ def _stretches(shards: int):
             if not len(begin):
                 continue
             docs, starts = piece.where(begin)
-            words = piece.words
             for a, n, shard, doc, start in zip(begin.tolist(), size.tolist(), shard_of.tolist(), docs.tolist(), starts.tolist()):
-                text = b" ".join(words[a:a + n + WINDOW - 1])
+                text = piece.text(a, n + WINDOW - 1)
                 entry = entries.setdefault(text, len(entries))
                 if entry == len(home):
                     home.append(shard)
@@ -273,25 +306,45 @@ def _unpacked(payload: bytes) -> tuple[np.ndarray, list[bytes]]:
     return np.frombuffer(payload, _ENTRY, count, 8), payload[end + 1:].split(b"\n")
 
 
+class _Numbers(dict):
+    """Words numbered in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+_NTH = np.dtype([("entry", "<i4"), ("nth", "<i4")])
+#: Stands for all windows of a stretch.
+ALL = -1
+
+
 def _match(table: pa.Table) -> pa.Table:
-    """The index of one shard, and the windows of its stretches that have an earlier place."""
-    own = [(b, PLACES, p) for b, p in _payloads(table, PLACES)]
-    passed = [(-1, block, kind, payload) for block, kind, payload in own]
-    told, blocks, numbers, codes, sizes = [], [], {}, [], []
+    """The index of one shard, and the windows of its stretches that have an earlier place.
+
+    Equal stretches of several blocks are indexed and searched once, at the earliest of their places.
+    """
+    passed = [(-1, block, PLACES, payload) for block, payload in _payloads(table, PLACES)]
+    told, blocks, same, distinct = [], [], [], _Numbers()
     for block, payload in _payloads(table, STRETCHES):
         entries, texts = _unpacked(payload)
         told.append(entries)
         blocks.append(np.full(len(entries), block))
-        for text in texts:
-            words = text.split(b" ")
-            codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), "int32", len(words)))
-            sizes.append(len(words))
+        same.append(np.fromiter(map(distinct.__getitem__, texts), "int64", len(texts)))
     if not told:
         return _sent(passed)
-    told, blocks, codes, sizes = np.concatenate(told), np.concatenate(blocks), np.concatenate(codes).astype("int64"), np.array(sizes)
+    told, blocks, same = np.concatenate(told), np.concatenate(blocks), np.concatenate(same)
+    order = np.lexsort((told["start"], told["id"], same))
+    _, head = np.unique(same[order], return_index=True)
+    first = told[order[head]]
+    later = (told["id"] != first["id"][same]) | (told["start"] != first["start"][same])
+
+    numbers, words = _Numbers(), b" ".join(distinct).split(b" ")
+    codes, sizes = np.fromiter(map(numbers.__getitem__, words), "int64", len(words)), first["windows"].astype("int64") + WINDOW - 1
+    del words, distinct
     index = FmIndex(codes, sizes, len(numbers), WINDOW)
-    nth = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    ids, starts = np.repeat(told["id"], sizes), np.repeat(told["start"], sizes) + nth
+    nth = _spread(np.zeros(len(sizes), "int64"), sizes)
+    ids, starts = np.repeat(first["id"], sizes), np.repeat(first["start"], sizes) + nth
     order = np.lexsort((starts, ids))
     rank = np.empty(len(codes), "int64")
     rank[order] = np.cumsum(np.concatenate([[False], (ids[order][1:] != ids[order][:-1]) | (starts[order][1:] != starts[order][:-1])]))
@@ -299,16 +352,20 @@ def _match(table: pa.Table) -> pa.Table:
     weights[index.places] = rank
     least = index.least(weights)
     found = index.search(codes, sizes)
-    earlier = (found >= 0) & (least[found] < rank)
-    entry = np.repeat(np.arange(len(told)), sizes)[earlier]
-    out = np.empty(len(entry), [("entry", "<i4"), ("nth", "<i4")])
-    out["entry"], out["nth"] = told["entry"][entry], nth[earlier]
+    earlier = np.flatnonzero((found >= 0) & (least[found] < rank))
+
+    # windows found, for every stretch that stands at the earliest place of its words; the others are found whole
+    of = np.repeat(np.arange(len(sizes)), sizes)[earlier]
+    edge = np.searchsorted(of, np.arange(len(sizes) + 1))
+    own = np.flatnonzero(~later)
+    many = (edge[1:] - edge[:-1])[same[own]]
+    entry = np.concatenate([np.flatnonzero(later), np.repeat(own, many)])
+    out = np.empty(len(entry), _NTH)
+    out["entry"] = told["entry"][entry]
+    out["nth"] = np.concatenate([np.full(int(later.sum()), ALL), nth[earlier][_spread(edge[:-1][same[own]], many)]])
     return _sent([*passed, *[(-1, block, EARLIER, out[k].tobytes()) for block, k in _split(blocks[entry])]])
 
 
-_NTH = np.dtype([("entry", "<i4"), ("nth", "<i4")])
-
-
 def _spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
     """The numbers from every ``begin`` on, ``many`` of each."""
     return np.repeat(begin, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
@@ -319,6 +376,7 @@ def _covered(ids: np.ndarray, verdicts: pa.Table) -> tuple[np.ndarray, np.ndarra
     docs, starts = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
     earlier = np.concatenate([np.zeros(0, _NTH), *[np.frombuffer(p, _NTH) for _, p in _payloads(verdicts, EARLIER)]])
     earlier = earlier[np.argsort(earlier["entry"], kind="stable")]
+    whole, earlier = earlier["entry"][earlier["nth"] == ALL], earlier[earlier["nth"] != ALL]
     for _, payload in _payloads(verdicts, PLACES):
         count = int.from_bytes(payload[:8], "little")
         told = np.frombuffer(payload, _ENTRY, count, 8)
@@ -327,10 +385,10 @@ def _covered(ids: np.ndarray, verdicts: pa.Table) -> tuple[np.ndarray, np.ndarra
         many = np.searchsorted(earlier["entry"], placed["entry"], "right") - begin
         docs.append(np.repeat(placed["doc"], many))
         starts.append(np.repeat(placed["start"], many) + earlier["nth"][_spread(begin, many)])
-        # the later places of a stretch in its own block
+        # stretches found whole, and the later places of a stretch in its own block
         head = np.concatenate([[True], placed["entry"][1:] != placed["entry"][:-1]])
         first = placed[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        later = placed[(ids[placed["doc"]] != ids[first["doc"]]) | (placed["start"] != first["start"])]
+        later = placed[(ids[placed["doc"]] != ids[first["doc"]]) | (placed["start"] != first["start"]) | _among(placed["entry"], whole)]
         many = told["windows"][later["entry"]].astype("int64")
         docs.append(np.repeat(later["doc"], many))
         starts.append(_spread(later["start"], many))
