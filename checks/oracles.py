@@ -491,6 +491,15 @@ def oracle_sql() -> dict[str, str]:
     o["kmeans_summary_by_user"] = f"""{gappy} SELECT user_id, n AS "rows", {rnd('mp', 1)} AS avg_price, {rnd('mv', 1)} AS avg_sales,
         {rnd('p0', 1)} AS price_min, {rnd('p1', 1)} AS price_max, {whole('v0')} AS sales_min, {whole('v1')} AS sales_max,
         valid AS valid_rows, status, CAST(3 AS BIGINT) AS k FROM s"""
+    o["upload_quarantine"] = f"""WITH {FACTS}, sent AS (
+        SELECT l_orderkey % 5 AS user_id, sales_volume, l_orderkey, l_orderkey % 10 = 7 AS bad, 'more cells than columns' AS reason FROM facts
+        UNION ALL SELECT l_orderkey % 5 + 10, sales_volume, l_orderkey, l_orderkey % 10 = 3, 'not a JSON object' FROM facts), told AS (
+        SELECT user_id, 'stored' AS status, count(*) FILTER (NOT bad) AS stored_rows, count(*) FILTER (bad) AS rejected_rows,
+          '上传成功！共导入 ' || count(*) FILTER (NOT bad) || ' 条数据' AS message, max(reason) FILTER (bad) AS reason,
+          CAST(sum(l_orderkey) FILTER (bad) AS BIGINT) AS reject_keys, nullif(count(*) FILTER (bad), 0) AS placed,
+          CAST(sum(sales_volume) FILTER (NOT bad) AS BIGINT) AS volume FROM sent GROUP BY 1)
+      SELECT * FROM told UNION ALL SELECT 20, 'rejected', 0, 0, 'columns', NULL, NULL, NULL, NULL
+      UNION ALL SELECT 21, 'rejected', 0, 0, '文件内容为空', NULL, NULL, NULL, NULL"""
     o["segment_bars"] = f"""WITH s AS ({o['price_segments']}) SELECT bin, label, avg_sales,
       CAST(round(avg_sales * 100.0 / (SELECT max(avg_sales) FROM s)) AS BIGINT) AS pct FROM s"""
     o["brand_measures"] = f"""WITH {VEHICLES} SELECT brand, CAST(sum(sales_volume) AS BIGINT) AS total_sales,

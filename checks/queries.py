@@ -944,6 +944,38 @@ def upload_job(spark, d):
     return aggregates.overview(batches.current(spark, store), by=["user_id"])
 
 
+def _rewritten(spark, files: str, value, path: str, suffix: str) -> None:
+    """Copies of text files, one per owner, with their text changed."""
+    text = spark.read.option("wholetext", True).text(files).select(
+        value.alias("value"), F.regexp_extract("_metadata.file_path", r"user_id=(\d+)", 1).alias("user_id"))
+    # the text source names its files .txt; a folder of their own says what is in them
+    text.write.partitionBy("user_id").option("lineSep", "\n").text(f"{path}/{suffix}")
+
+
+@query
+def upload_quarantine(spark, d):
+    """Files with surplus cells, broken JSON lines, a header of empty cells and nothing at all, uploaded beside good rows."""
+    plain, path = scratch_path(spark, "plain"), scratch_path(spark, "incoming")
+    rows = _five_owners(spark, d)
+    rows.write.partitionBy("user_id").option("header", True).csv(f"{plain}/csv")
+    rows.withColumn("user_id", F.col("user_id") + 10).repartition(5, "user_id").write.partitionBy("user_id").json(f"{plain}/json")
+    text = F.col("value")
+    _rewritten(spark, f"{plain}/csv/*/*.csv", F.regexp_replace(text, r"(?m)^(\d*7,.*)$", "$1,surplus"), path, "csv")
+    _rewritten(spark, f"{plain}/json/*/*.json", F.regexp_replace(text, r'(?m)^(\{"l_orderkey":\d*3,.*)\}$', "$1"), path, "json")
+    _rewritten(spark, f"{plain}/csv/user_id=0/*.csv", F.concat(F.lit(",,,,\n"), text), f"{path}/csv/user_id=20", "cells")
+    _rewritten(spark, f"{plain}/csv/user_id=0/*.csv", F.lit("\n \n"), f"{path}/csv/user_id=21", "blank")
+    store = batches.BatchStore(scratch_path(spark, "store"))
+    csv = uploading.upload(spark, f"{path}/csv", store, "first", "csv")
+    json = uploading.upload(spark, f"{path}/json", store, "second", "json")
+    owner = F.regexp_extract("file", r"user_id=(\d+)", 1).cast("long").alias("user_id")
+    reason = F.when(F.col("message").startswith("数据缺少必需列"), "columns").otherwise(F.col("message")).alias("message")
+    files = csv.files.unionByName(json.files).select(owner, "status", "stored_rows", "rejected_rows", reason)
+    keys = F.sum(F.regexp_extract("text", r"(\d+)", 1).cast("long")).alias("reject_keys")
+    rejects = csv.rejects.unionByName(json.rejects).withColumn("user_id", owner).groupBy("user_id", "reason").agg(keys, F.count("place").alias("placed"))
+    volume = batches.current(spark, store).groupBy("user_id").agg(F.sum("sales_volume").alias("volume"))
+    return files.join(rejects, "user_id", "left").join(volume, "user_id", "left")
+
+
 @query
 def reupload_and_delete(spark, d):
     """One path uploaded three times with other volumes, the second upload deleted in between."""

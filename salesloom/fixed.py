@@ -149,6 +149,11 @@ MSG_NONE_TO_DROP = "未检测到缺失值，无需舍弃"
 MSG_CUSTOM_FILL = "%s 列 %d 个缺失值已填充为「%s」"
 MSG_DEFAULT_FILL = "%s 列 %d 个缺失值已填充为默认值「%s」"
 MSG_MISSING_COLUMNS = "数据缺少必需列: %s。当前列名: %s。"
+MSG_FILE_EMPTY = "文件内容为空"
+MSG_BAD_FORMAT = "仅支持 JSON 和 CSV 格式"
+MSG_BAD_JSON = "无法解析 JSON 文件"
+MSG_NOTHING_LEFT = "清洗后无有效数据"
+MSG_UPLOADED = "上传成功！共导入 %d 条数据"
 MSG_NO_BOUND = "不限"
 MSG_TOO_FEW = "有效数据不足（需 ≥%d 条，当前 %d 条）"
 MSG_TOO_FEW_TO_TRAIN = "有效数据不足 5 条，无法训练"

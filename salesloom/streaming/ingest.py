@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from salesloom.plans.upload import FILE, store_batches
-from salesloom.sources.batches import BatchStore, activate, latest_upload, uploads
-from salesloom.sources.files import read_csv, read_json
+from salesloom.plans.upload import FILE, put_in_effect, store_files
+from salesloom.sources import quarantine
+from salesloom.sources.batches import BatchStore
 
 
 LISTING = "path string, modificationTime timestamp, length long, content binary"
@@ -23,7 +23,7 @@ def file_stream(spark: SparkSession, folder: str, max_files: int | None = None)
 
 
 def start_ingest(spark: SparkSession, folder: str, store: BatchStore, checkpoint: str,
-                 fmt: str = "csv", max_files: int | None = None, set_active: bool = True) -> StreamingQuery:
+                 fmt: str | None = "csv", max_files: int | None = None, set_active: bool = True) -> StreamingQuery:
     """Process all files not seen yet, then stop.
 
     The stream lists files; each micro-batch reads its own with the batch reader, so headers in any
@@ -31,18 +31,17 @@ def start_ingest(spark: SparkSession, folder: str, store: BatchStore, checkpoint
 
     One micro-batch holds many files and cleans them keyed by file, since a file's statistics
     depend on that file alone.  The micro-batch number names the run, so a replayed micro-batch
-    overwrites its own output and nothing is stored twice.
+    overwrites its own output and nothing is stored twice.  Files and rows that cannot be read end in the
+    store's ``files`` and ``rejects`` and do not stop the stream; files without a byte never reach it.
     """
     def keep(listed: DataFrame, number: int) -> None:
         run = f"stream-{number:09d}"
         paths = [r[0] for r in listed.collect()]  # the listing of one micro-batch, as the driver has it anyway
         if not paths:
             return
-        read = {"csv": read_csv, "json": read_json}[fmt]
-        store_batches(spark, read(spark, paths, store.roles, file_column=FILE), store, run)
+        store_files(spark, quarantine.read(spark, paths, fmt, store.roles, FILE), store, run)
         if set_active:
-            newest = latest_upload(uploads(spark, store).filter(F.col("run") == run))
-            activate(spark, store, newest.filter(F.col("user_id").isNotNull()).select("user_id", "upload_id"))
+            put_in_effect(spark, store, run)
 
     return (
         file_stream(spark, folder, max_files)
