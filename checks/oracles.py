@@ -491,6 +491,16 @@ def oracle_sql() -> dict[str, str]:
     o["kmeans_summary_by_user"] = f"""{gappy} SELECT user_id, n AS "rows", {rnd('mp', 1)} AS avg_price, {rnd('mv', 1)} AS avg_sales,
         {rnd('p0', 1)} AS price_min, {rnd('p1', 1)} AS price_max, {whole('v0')} AS sales_min, {whole('v1')} AS sales_max,
         valid AS valid_rows, status, CAST(3 AS BIGINT) AS k FROM s"""
+    o["summary_kept_up"] = f"""WITH {FACTS}, sent AS (
+        SELECT l_orderkey % 5 AS user_id, brand, model, CAST(sales_volume AS BIGINT) * CASE WHEN l_orderkey % 5 < 3 THEN 2 ELSE 1 END AS v, sales_price
+        FROM facts WHERE l_orderkey % 5 > 0), best AS (
+        SELECT user_id, v, brand || ' ' || model AS name, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, brand, model) AS a FROM sent), items AS (
+        SELECT user_id, model, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, model) AS a FROM sent GROUP BY 1, 2), dims AS (
+        SELECT user_id, brand, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, brand) AS a FROM sent GROUP BY 1, 2), told AS (
+        SELECT user_id, count(*) AS record_count, count(DISTINCT brand) AS brand_count, string_agg(DISTINCT brand, ',' ORDER BY brand) AS brands,
+          {rnd('avg(sales_price)', 2)} AS avg_price, count(*) AS total_rows FROM sent GROUP BY 1)
+      SELECT told.*, best.v AS top_volume, best.name AS top_volume_name, items.model AS top_item_by_rows, dims.brand AS top_dim_by_rows
+      FROM told JOIN best USING (user_id) JOIN items USING (user_id) JOIN dims USING (user_id) WHERE best.a = 1 AND items.a = 1 AND dims.a = 1"""
     o["upload_quarantine"] = f"""WITH {FACTS}, sent AS (
         SELECT l_orderkey % 5 AS user_id, sales_volume, l_orderkey, l_orderkey % 10 = 7 AS bad, 'more cells than columns' AS reason FROM facts
         UNION ALL SELECT l_orderkey % 5 + 10, sales_volume, l_orderkey, l_orderkey % 10 = 3, 'not a JSON object' FROM facts), told AS (

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from checks import bindings as b
 from salesloom.functions import dates, numbers, text
 from salesloom.operators import (
-    aggregates, charts, cleaning, clustering, correlation, filters, narrative, ranking, regression, tenant_clusters, tenants,
+    aggregates, charts, cleaning, clustering, correlation, filters, narrative, profiles, ranking, regression, tenant_clusters, tenants,
 )
 from salesloom.operators.spread import attach, count_groups, measure_profile
 from salesloom.plans import clean as jobs
@@ -1028,6 +1028,24 @@ def streaming_upload(spark, d):
     ).select("user_id", "record_count", "archived_count", "is_active")
 
 
+@query
+def summary_kept_up(spark, d):
+    """Summaries and overviews after five micro-batches of files and a deletion, from what the micro-batches left."""
+    from salesloom.streaming.ingest import start_ingest
+
+    path, progress = scratch_path(spark, "incoming"), scratch_path(spark, "progress")
+    store = batches.BatchStore(scratch_path(spark, "store"))
+    for folder, times, users in (("one", 1, 5), ("two", 2, 3)):
+        rows = _five_owners(spark, d, times).filter(F.col("user_id") < users)
+        rows.write.partitionBy("user_id").option("header", True).csv(f"{path}/{folder}")
+        start_ingest(spark, path, store, progress, max_files=2).awaitTermination()
+    first = batches.active(spark, store).filter("user_id = 0").withColumnRenamed("active_upload_id", "upload_id")
+    batches.delete_uploads(spark, store, first)
+    totals = profiles.overview(batches.current_profiles(spark, store), ["user_id"])
+    summary = batches.summary(spark, store).select("user_id", "record_count", "brand_count", F.array_join("brands", ",").alias("brands"), "avg_price")
+    return summary.join(totals.select("user_id", "total_rows", "top_volume", "top_volume_name", "top_item_by_rows", "top_dim_by_rows"), "user_id")
+
+
 @query
 def flagship_brand_ranking(spark, d):
     """Dirty rows to a ranking: scan, join, dedup, medians, outliers, categories, top seven."""

@@ -45,8 +45,13 @@ def overview(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
     Ties go to the alphabetically first names; missing measures and names never win.  With ``tenants`` (the full list of keys), groups
     without rows get a row of zeros and dashes.
     """
-    by = list(by)
-    level = shared(entity_level(df, roles, by))
+    return overview_of(entity_level(df, roles, by), roles, by, tenants)
+
+
+def overview_of(level: DataFrame, roles: Roles = SALES, by: Sequence[str] = (),
+                tenants: DataFrame | None = None) -> DataFrame:
+    """The overview from rows of ``entity_level``."""
+    by, level = list(by), shared(level)
     dim, item = F.col(roles.dim), F.col(roles.item)
     main = level.groupBy(*by).agg(
         F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("total_rows"),
@@ -229,9 +234,14 @@ def summary_snapshot(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ("
 
     Entity groups and categories are reduced to their distinct values before they are listed.
     """
-    by = list(by)
-    cells = shared(df.groupBy(*by, roles.dim, roles.cat).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(roles.price).alias("p"), F.count(roles.price).alias("pn")))
+    cells = df.groupBy(*by, roles.dim, roles.cat).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(roles.price).alias("p"), F.count(roles.price).alias("pn"))
+    return summary_of(cells, roles, by)
+
+
+def summary_of(cells: DataFrame, roles: Roles = SALES, by: Sequence[str] = ("user_id",)) -> DataFrame:
+    """The summary from rows per entity group and category: ``rows``, sum ``p`` and number ``pn`` of prices."""
+    by, cells = list(by), shared(cells)
     main = cells.groupBy(*by).agg(
         F.sum("rows").alias("record_count"),
         F.countDistinct(roles.dim).alias("brand_count"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from salesloom.plans.upload import FILE, put_in_effect, store_files
+from salesloom.plans.upload import FILE, put_in_effect, store_files, summarise
 from salesloom.sources import quarantine
 from salesloom.sources.batches import BatchStore
 
@@ -31,8 +31,10 @@ def start_ingest(spark: SparkSession, folder: str, store: BatchStore, checkpoint
 
     One micro-batch holds many files and cleans them keyed by file, since a file's statistics
     depend on that file alone.  The micro-batch number names the run, so a replayed micro-batch
-    overwrites its own output and nothing is stored twice.  Files and rows that cannot be read end in the
-    store's ``files`` and ``rejects`` and do not stop the stream; files without a byte never reach it.
+    overwrites its own output and nothing is stored twice.  Each micro-batch writes the summaries of its
+    owners; what it stores merges, so ``batches.summary`` follows without reading rows again.  Files and
+    rows that cannot be read end in the store's ``files`` and ``rejects`` and do not stop the stream; files
+    without a byte never reach it.
     """
     def keep(listed: DataFrame, number: int) -> None:
         run = f"stream-{number:09d}"
@@ -42,6 +44,7 @@ def start_ingest(spark: SparkSession, folder: str, store: BatchStore, checkpoint
         store_files(spark, quarantine.read(spark, paths, fmt, store.roles, FILE), store, run)
         if set_active:
             put_in_effect(spark, store, run)
+            summarise(spark, store, run)
 
     return (
         file_stream(spark, folder, max_files)
