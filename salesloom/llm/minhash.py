@@ -8,10 +8,13 @@ pair is estimated by counting equal groups of bits, less those that agree by cha
 that may reach the threshold are confirmed on the full shingle sets.
 
 Within a bucket of a band, members are first compared with a few pivots, one after the other; what
-is linked anywhere has one label everywhere.  In buckets that still hold several labels, all members
-of different labels are compared: pair by pair in small buckets, elsewhere in cells of bounded size,
-every cell with every other, by counting common shingles.  So each pair that shares a band is
-compared or already connected.  A pair at the threshold shares no band with probability 3e-5 (0.8)
+is linked anywhere has one label everywhere.  Buckets that still hold several labels are put together
+to families, so that no pair meets twice.  In a family only members that share one of their rarest
+shingles with another label go on: of two sets with a similarity of t, the smaller
+one has one of its ``size - ceil(2 * t / (1 + t) * size) + 1`` rarest among the ``size - ceil(t * size) + 1`` rarest of the
+larger one, in any order of all shingles.  Members that may be the smaller one are compared with each
+other and with those that may be the larger one, in cells of bounded size, by counting common shingles.  So each pair
+that shares a band is compared, already connected, or known to lie below the threshold.  A pair at the threshold shares no band with probability 3e-5 (0.8)
 or 3e-8 (0.85), and some fifteen bands on average.
 
 Defined results: texts without words and null texts have an empty set and are linked with nothing;
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 
 from salesloom.llm.common import Scratch, WordTable, attach_by_key, free_name, mixed, rows_in, shingle_hashes, text_bytes
 from salesloom.llm.components import components
+from salesloom.session import staged
 
 BANDS, ROWS, BITS = 45, 7, 4
 FUNCTIONS = 320
@@ -40,8 +44,8 @@ PER_LONG = 64 // BITS
 LOW_BITS = sum(1 << (BITS * k) for k in range(PER_LONG))
 #: Rounds in which buckets are compared with one pivot.
 PIVOTS = 3
-#: Open buckets up to this size are compared pair by pair.
-FEW = 16
+#: Shingles of open members are counted in a table of this many places, whatever their number.
+SKETCH_BITS, SKETCH_BLOCK = 20, 16_384
 #: Members of larger buckets meet in cells of about so many rows or bytes of shingles.
 CELL_ROWS, CELL_BYTES = 512, 2_000_000
 #: Standard deviations of the estimate that a candidate may lie below the threshold.
@@ -182,8 +186,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
         before, members = members, scratch.keep(_next_members(members, labels, turn), "members")
         scratch.drop(before)
     if not members.isEmpty():
-        found = _links(_pairs(members.filter(F.col("n") <= FEW)), signs, sets, percent)
-        edges.append(scratch.keep(found.union(_links_of_cells(members.filter(F.col("n") > FEW), sets, percent)), "links"))
+        edges.append(scratch.keep(_links_of_cells(_families(members, sets, percent, scratch), sets, percent), "links"))
         labels = components(reduce(DataFrame.union, edges))
     scratch.drop(members, signs, sets, *edges)
 
@@ -199,10 +202,78 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
         F.greatest("rid", "pivot").alias("a"), F.least("rid", "pivot").alias("b")).distinct()
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """All pairs ``(a, b)`` of members of one bucket that have different labels."""
-    one, other = members.select("bucket", "rid", "label").toDF("bucket", "a", "la"), members.select("bucket", "rid", "label").toDF("bucket", "b", "lb")
-    return one.join(other, "bucket").filter("a > b and la != lb").select("a", "b").distinct()
+def _slots(shingles: np.ndarray, family: int) -> np.ndarray:
+    """Shingles of one family as 64-bit keys; the highest SKETCH_BITS are the place in the table of counts."""
+    return mixed(shingles ^ mixed(np.array([family], "int64").view("uint64")))
+
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many members have the shingles of a place, at most; a table of 4 MB.
+
+    Every task counts its own, a block of the table is summed by one task.
+    """
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << SKETCH_BITS, "int64")
+        for batch in rows_in(batches):
+            for family, packed_set in zip(batch.column(0).to_pylist(), batch.column(1)):
+                slots = _slots(np.frombuffer(packed_set.as_buffer(), "uint64"), family) >> np.uint64(64 - SKETCH_BITS)
+                np.add.at(table, slots, 1)
+        for block in range(len(table) // SKETCH_BLOCK):
+            part = table[block * SKETCH_BLOCK:(block + 1) * SKETCH_BLOCK]
+            at = np.flatnonzero(part)
+            if len(at):
+                payload = at.astype("<u2").tobytes() + np.minimum(part[at], 2 ** 31 - 1).astype("<i4").tobytes()
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([payload], pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        out = np.zeros(SKETCH_BLOCK, "int64")
+        for payload in table.column("counts").to_pylist():
+            n = len(payload) // 6
+            out[np.frombuffer(payload, "<u2", n)] += np.frombuffer(payload, "<i4", n, 2 * n)
+        return pa.table({"block": table.column("block").slice(0, 1),
+                         "counts": pa.array([np.minimum(out, 2 ** 31 - 1).astype("<i4").tobytes()], pa.binary())})
+
+    schema = "block int, counts binary"
+    whole = np.zeros(1 << SKETCH_BITS, "<i4")
+    for block, counts in sets.select("family", "set").mapInArrow(count, schema).groupBy("block").applyInArrow(total, schema).collect():
+        whole[block * SKETCH_BLOCK:(block + 1) * SKETCH_BLOCK] = np.frombuffer(counts, "<i4")
+    return whole
+
+
+def _families(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``(bucket, rid, label, short)``: members of open buckets, by family, that share one of their rarest shingles with another
+    label; ``short`` where that is one of the few that the smaller set of a pair must share."""
+    family = components(members.select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct())
+    named = members.select("rid", "label").distinct().join(family.toDF("rid", "family"), "rid")
+    rows = scratch.keep(named.join(sets, "rid").select("family", "set", "rid", "label"), "open")
+    counts = _counts(rows)
+
+    def rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_in(batches):
+            tokens, owner, short = [], [], []
+            for k, (of, packed_set) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                keys = _slots(np.frombuffer(packed_set.as_buffer(), "uint64"), of)
+                often = counts[keys >> np.uint64(64 - SKETCH_BITS)]
+                first = np.lexsort((keys, often))[:len(keys) - -(-percent * len(keys) // 100) + 1]
+                # the smaller set of a pair needs no more than this to meet the larger one's
+                few = np.arange(len(first)) < len(keys) - -(-2 * percent * len(keys) // (100 + percent)) + 1
+                # a place that one member has is shared with nobody
+                some = often[first] > 1
+                tokens.append(keys[first[some]])
+                short.append(few[some])
+                owner.append(np.full(int(some.sum()), k))
+            at = pa.array(np.concatenate(owner))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(tokens).view("int64")), batch.column(2).take(at), batch.column(3).take(at), pa.array(np.concatenate(short))],
+                names=["token", "rid", "label", "short"])
+
+    tokens = scratch.keep(rows.mapInArrow(rarest, "token long, rid long, label long, short boolean"), "tokens")
+    shared = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("short"))
+    shared = shared.filter("lo < hi and short").select("token")
+    alive = tokens.join(shared, "token", "left_semi").groupBy("rid").agg(F.bool_or("short").alias("short"))
+    kept = scratch.keep(rows.select(F.col("family").alias("bucket"), "rid", "label").join(alive, "rid"), "alive")
+    scratch.drop(rows, tokens)
+    return kept
 
 
 def _links(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,23 +302,24 @@ def _next_members(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame
 
 
 def _links_of_cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` that connect whatever similar members of one bucket connect.
+    """Links ``(a, b)`` that connect whatever similar members of one bucket connect, one of them ``short``.
 
-    A label with many members has cells of its own, which need not meet each other; small labels share cells.
+    ``members``: rows ``(bucket, rid, label, short)``.  A label with many members has cells of its own, which need not
+    meet each other; small labels share cells.  Short members have cells apart; cells without them do not meet.
     """
     weight = F.octet_length("set") / F.lit(float(CELL_BYTES)) + F.lit(1.0 / CELL_ROWS)
-    rows = members.select("bucket", "rid", "label").join(sets.select("rid", weight.alias("weight")), "rid")
-    of_label = rows.groupBy("bucket", "label").agg(F.sum("weight").alias("weight"))
-    shared = of_label.filter("weight <= 1").groupBy("bucket").agg(F.ceil(F.sum("weight")).alias("shared"))
-    dealt = of_label.join(shared, "bucket", "left").select("bucket", "label", "shared", F.when(
+    rows = members.select("bucket", "rid", "label", "short").join(sets.select("rid", weight.alias("weight")), "rid")
+    of_label = rows.groupBy("bucket", "short", "label").agg(F.sum("weight").alias("weight"))
+    shared = of_label.filter("weight <= 1").groupBy("bucket", "short").agg(F.ceil(F.sum("weight")).alias("shared"))
+    dealt = of_label.join(shared, ["bucket", "short"], "left").select("bucket", "short", "label", "shared", F.when(
         F.col("weight") > 1, F.ceil("weight")).alias("own"))
-    cell = F.when(F.col("own").isNull(), F.xxhash64(F.pmod(F.xxhash64("label"), F.col("shared")))).otherwise(
-        F.xxhash64("label", F.pmod(F.xxhash64("rid"), F.col("own"))))
-    placed = rows.join(dealt, ["bucket", "label"]).select("bucket", "rid", "label", cell.alias("cell"), F.when(
+    cell = F.when(F.col("own").isNull(), F.xxhash64("short", F.pmod(F.xxhash64("label"), F.col("shared")))).otherwise(
+        F.xxhash64("short", "label", F.pmod(F.xxhash64("rid"), F.col("own"))))
+    placed = rows.join(dealt, ["bucket", "short", "label"]).select("bucket", "rid", "label", "short", cell.alias("cell"), F.when(
         F.col("own").isNotNull(), F.col("label")).alias("only"))
-    cells = placed.select("bucket", "cell", "only").distinct()
-    meet = cells.toDF("bucket", "c", "oc").join(cells.toDF("bucket", "d", "od"), "bucket").filter(
-        "c <= d and (oc is null or od is null or oc != od)").select("bucket", "c", "d")
+    cells = placed.select("bucket", "cell", "only", "short").distinct()
+    meet = cells.toDF("bucket", "c", "oc", "sc").join(cells.toDF("bucket", "d", "od", "sd"), "bucket").filter(
+        "c <= d and (sc or sd) and (oc is null or od is null or oc != od)").select("bucket", "c", "d")
     task = F.xxhash64("bucket", "c", "d").alias("task")
     left = meet.select("bucket", F.col("c").alias("cell"), task, F.lit(0).alias("side"))
     right = meet.filter("c < d").select("bucket", F.col("d").alias("cell"), task, F.lit(1).alias("side"))
@@ -307,10 +379,17 @@ def connecting(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, perc
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near duplicates (the smallest id), with all its columns.
 
-    Rows without an id are kept; of several rows with one id, one is kept.
+    Rows without an id are kept.  Where ids repeat, every row is a document of its own: of several rows with one id
+    those whose texts are near duplicates become one, others stay.
     """
     mark = free_name(docs, "_kept_id")
-    linked = link(docs, size, percent, id_col, text_col)
-    kept = linked.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(mark)).distinct()
-    with_id = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(mark), "left_semi")
-    return with_id.dropDuplicates([id_col]).union(docs.filter(F.col(id_col).isNull()))
+    with_id, without = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull())
+    if with_id.groupBy(id_col).count().filter("count > 1").isEmpty():
+        linked = link(docs, size, percent, id_col, text_col)
+        kept = linked.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(mark))
+        return with_id.join(kept, F.col(id_col) == F.col(mark), "left_semi").union(without)
+    numbered = staged(with_id.withColumn(mark, F.monotonically_increasing_id()), "numbered")
+    linked = link(numbered, size, percent, mark, text_col).withColumnRenamed("doc_id", mark)
+    order = F.struct(F.col(id_col), F.xxhash64(text_col), F.col(mark))
+    best = linked.join(numbered.select(mark, id_col, text_col), mark).groupBy("component_id").agg(F.min(order).alias("best"))
+    return numbered.join(best.select(F.col("best")[mark].alias(mark)), mark, "left_semi").select(*docs.columns).union(without)

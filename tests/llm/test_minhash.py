@@ -112,6 +112,60 @@ def test_pairs_within_a_family_just_below_the_threshold(spark):
     assert got == {k: k - 900 if k >= 900 else k for k in texts}
 
 
+def test_only_members_that_share_rare_shingles_are_compared(spark, monkeypatch):
+    """Of a family below the threshold, few but the planted pairs are compared with others."""
+    left = []
+    families = minhash._families
+
+    def watched(*args):
+        found = families(*args)
+        left.append((args[0].select("rid").distinct().count(), found.filter("short").count()))
+        return found
+
+    monkeypatch.setattr(minhash, "_families", watched)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(100)]
+    texts = {k: " ".join(base + [f"x{k}a{i}" for i in range(13)]) for k in range(600)}
+    texts |= {1000 + k: " ".join(base + [f"x{k}a{i}" for i in range(2)] + [f"y{k}a{i}" for i in range(11)]) for k in range(20)}
+    rows = list(texts.items())
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert got == {k: k - 1000 if k >= 1000 else k for k in texts}
+    assert len(left) == 1 and left[0][0] > 300 and left[0][1] <= 60
+
+
+def test_variants_of_one_template(spark):
+    """Rare shingles that many share: every member takes one of four forms at each of some places."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{i}" if i % 10 else f"w{i}{rng.choice('abcd')}" for i in range(120))) for k in range(200)]
+    want = {k: c for k, (_, c) in brute(rows, 3, 80).items()}
+    got = {r.doc_id: r.component_id for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert got == want and 1 < len(set(want.values())) < 200
+
+
+def test_counts_of_shingles_are_upper_bounds_for_all_members(spark):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 500, 60, "uint64")) for _ in range(30)]
+    table = spark.createDataFrame([(k % 2, bytearray(s.tobytes())) for k, s in enumerate(sets)], "family long, set binary").repartition(4)
+    counts = minhash._counts(table)
+    assert counts.sum() == sum(map(len, sets))
+    for family in (0, 1):
+        own = np.concatenate(sets[family::2])
+        values, often = np.unique(own, return_counts=True)
+        assert (counts[minhash._slots(values, family) >> np.uint64(64 - minhash.SKETCH_BITS)] >= often).all()
+
+
+def test_rows_with_one_id_are_judged_by_their_texts(spark):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(1, long("a"), "p"), (1, long("b"), "q"), (1, long("a"), "r"), (2, long("b") + " more", "s"), (3, long("c"), "t"), (3, None, "u"),
+            (None, long("c"), "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = minhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(found, key=str) == sorted([(1, long("a")), (1, long("b")), (3, long("c")), (3, None), (None, long("c"))], key=str)
+
+
 @pytest.mark.parametrize("width", [7, 4096])
 def test_cells_connect_what_similar_pairs_connect(width):
     rng = np.random.default_rng(5)
