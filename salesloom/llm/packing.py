@@ -32,8 +32,8 @@ from salesloom.session import staged
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: Words remembered per Python process; beyond it the memory starts anew.
-REMEMBERED_WORDS = 300_000
+#: Words, and parts of words, that one generation of a process's memory takes.
+WORDS, PARTS = 300_000, 300_000
 #: Punctuation that stands apart from the letters before it.
 CLOSING = ".,;:!?*#$%&|"
 ROWS_PER_CELL = 25_000
@@ -48,6 +48,30 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class Memory:
+    """What has been worked out for byte strings or texts, in two generations.
+
+    A full generation becomes the old one; what is asked for again moves from there to the young one, so
+    frequent words stay and rare ones go, and no more than two generations are ever held.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def unknown(self, keys: set) -> list:
+        """The keys that are not remembered; all others can be read from ``young`` until the next call."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        out = []
+        for key in keys.difference(self.young):
+            held = self.old.get(key)
+            if held is None:
+                out.append(key)
+            else:
+                self.young[key] = held
+        return out
+
+
 class Encoder:
     """From texts as UTF-8 bytes to their ids as little-endian 32-bit numbers.
 
@@ -65,41 +89,42 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Memory(WORDS), Memory(PARTS)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         # folding could make special tokens, so texts that may hold one are left as they are
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.words) > REMEMBERED_WORDS:
-            self.words.clear()
-        new = list(set(chain.from_iterable(split)).difference(self.words))
+        new = self.words.unknown(set(chain.from_iterable(split)))
         if new:
             self._learn(new)
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        found = self.words.young.__getitem__
+        return [b"".join(map(found, words)) for words in split]
 
     def _learn(self, new: list[bytes]) -> None:
         split = []
-        for word in new:
-            whole = word.decode("utf-8", "replace")
+        for whole in [w.decode("utf-8", "replace") for w in new]:
+            if whole.isalpha():
+                split.append((whole, ""))
+                continue
             letters = whole.rstrip(CLOSING)
             split.append((letters, whole[len(letters):]) if letters.isalpha() else (whole, ""))
-        if len(self.parts) > 2 * REMEMBERED_WORDS:
-            self.parts.clear()
-        missing = {p for pair in split for p in pair if p not in self.parts}
+        missing = set(self.parts.unknown({p for pair in split for p in pair}))
+        parts = self.parts.young
         letters = [p for p in missing if p.isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+        lines = [" ".join(letters[k:k + 100]) for k in range(0, len(letters), 100)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(f.ids for f in found), "<u4")
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) == len(letters):
             raw, begin = ids.tobytes(), 0
             for part, end in zip(letters, ends.tolist()):
-                self.parts[part] = raw[4 * begin:4 * end]
+                parts[part] = raw[4 * begin:4 * end]
                 begin = end
             missing.difference_update(letters)
         rest = list(missing)
-        for part, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self.parts[part] = np.array(found.ids, "<u4").tobytes()
-        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in zip(new, split))
+        for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            parts[part] = np.array(found.ids, "<u4").tobytes()
+        self.words.young.update((w, parts[a] + parts[b]) for w, (a, b) in zip(new, split))
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
