@@ -6,7 +6,9 @@ The separators ``[\\x20\\x09-\\x0D]`` are exactly what ``bytes.split()`` splits
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,33 @@ def text_bytes(text: str) -> Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))
 
 
+#: Most bytes of a batch that Spark hands to Python at once.
+BATCH_BYTES = 8_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark cut batches for Python by size: with the default of 64 MB two of them and their objects fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers between stages, each with its largest size so far."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def rows_in(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, so that one slice of very long texts stays small."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
 
 
 def table_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
