@@ -272,6 +272,20 @@ SELECT c_custkey AS user_id, total_rows IS NOT NULL AS success,
 FROM customer LEFT JOIN t ON c_custkey = t.user_id"""
 
 
+#: Printed p-value.
+P_TEXT = "CASE WHEN p < 0.001 THEN '<0.001' ELSE CAST(round(round(p, 8), 4) AS VARCHAR) END"
+
+
+def p_values(table: str, key: str, steps: int) -> str:
+    """Table ``{table}_p`` with ``p`` for rows ``(key, n, r)``: the density of r integrated by Simpson's rule over its angle."""
+    area = ("sum((CASE WHEN i IN (0, {s}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * "
+            "pow(cos({lo} + i * (pi() / 2 - {lo}) / {s}), n - 3)) * (pi() / 2 - {lo})")
+    lo = "asin(least(abs(r), 1))"
+    return f"""{table}_p AS (
+      SELECT t.*, {key if key.startswith("'") or "," not in key else "NULL"} AS k, (SELECT {area.format(s=steps, lo=lo)} / ({area.format(s=steps, lo='0')})
+        FROM range(0, {steps + 1}) g(i)) AS p FROM {table} t)"""
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     oil, electric, hybrid = shares()
@@ -609,6 +623,26 @@ def oracle_sql() -> dict[str, str]:
       SELECT user_id, energy_type, n, CASE WHEN n >= 3 THEN {rnd('r', 4)} END AS r,
       CASE WHEN n >= 3 THEN {rnd('mx', 1)} END AS avg_price, CASE WHEN n >= 3 THEN {rnd('my', 1)} END AS avg_sales,
       CASE WHEN n < 3 THEN '样本不足' END AS note FROM f"""
+    o["stratified_p_by_user"] = f"""WITH {VEHICLES}, f AS (SELECT user_id, energy_type, count(*) AS n,
+      corr(sales_price, sales_volume) AS r FROM vehicles WHERE {VALID} GROUP BY 1, 2), {p_values('f', 'user_id, energy_type', 2000)}
+      SELECT user_id, energy_type, n, CASE WHEN n >= 3 THEN {P_TEXT} END AS p, coalesce(n >= 3 AND p < 0.05, false) AS significant FROM f_p"""
+    o["stratified_significance"] = f"""WITH {VEHICLES}, f AS (SELECT energy_type, count(*) AS n,
+      corr(sales_price, sales_volume) AS r, avg(sales_price) AS mx, avg(sales_volume) AS my FROM vehicles
+      WHERE {VALID} GROUP BY 1), {p_values('f', 'energy_type', 40000)}
+      SELECT energy_type, n, CASE WHEN n >= 3 THEN {rnd('r', 4)} END AS r, CASE WHEN n >= 3 THEN {P_TEXT} END AS p,
+      coalesce(n >= 3 AND p < 0.05, false) AS significant, CASE WHEN n >= 3 THEN {rnd('mx', 1)} END AS avg_price,
+      CASE WHEN n >= 3 THEN {rnd('my', 1)} END AS avg_sales, CASE WHEN n < 3 THEN '样本不足' END AS note FROM f_p"""
+    for name, key in (("correlation_overall", ""), ("correlation_overall_by_brand", "brand")):
+        comma, group = (f"{key}, ", "GROUP BY 1") if key else ("", "")
+        o[name] = f"""WITH {VEHICLES}, {xy(key)}, {ranks(key)}, f AS (SELECT {comma}count(*) AS n, corr(x, y) AS r, regr_r2(y, x) AS r2,
+            regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM xy {group}), h AS (SELECT {comma}count(*) AS n, corr(rx, ry) AS r FROM ranked {group}),
+          {p_values('f', key or "'all'", 40000)}, {p_values('h', key or "'all'", 40000)}
+          SELECT {f'f_p.k AS {key}, ' if key else ''}true AS success, NULL::VARCHAR AS error, f_p.n AS data_points, {rnd('f_p.r', 4)} AS pearson_r,
+            {P_TEXT.replace('(p', '(f_p.p').replace('WHEN p', 'WHEN f_p.p')} AS pearson_p, {rnd('h_p.r', 4)} AS spearman_rho,
+            {P_TEXT.replace('(p', '(h_p.p').replace('WHEN p', 'WHEN h_p.p')} AS spearman_p,
+            (SELECT {STRENGTH} FROM (SELECT f_p.r AS r, CASE WHEN f_p.r > 0 THEN '正相关' ELSE '负相关' END AS s)) AS interpretation,
+            {rnd('r2', 4)} AS r_squared, printf('销量 ≈ %.0f + %.1f × 价格', a, b) AS equation
+          FROM f_p JOIN h_p USING (k)"""
     counter = f"""{VEHICLES}, f AS (SELECT {{k}} regr_slope(sales_volume, sales_price) AS b,
       regr_intercept(sales_volume, sales_price) AS a, count(*) AS n FROM vehicles WHERE {VALID} {{g}}),
       s AS (SELECT {{k2}} brand, model, sales_price AS x, sales_volume AS y, a + b * sales_price AS e,

@@ -641,6 +641,17 @@ def stratified_significance(spark, d):
     return correlation.by_category(b.vehicles(spark, d))
 
 
+@query
+def correlation_overall_by_brand(spark, d):
+    return correlation.overall(b.vehicles(spark, d), by=["brand"])
+
+
+@query
+def stratified_p_by_user(spark, d):
+    """p-values of small strata."""
+    return correlation.by_category(b.vehicles(spark, d), by=["user_id"]).select("user_id", "energy_type", "n", "p", "significant")
+
+
 @query
 def counterexamples(spark, d):
     return rounded(correlation.counterexamples(b.vehicles(spark, d)).drop("reason"))

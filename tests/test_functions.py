@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from salesloom import fixed
 from salesloom.functions import bins, dates, numbers, text
-from salesloom.functions.student import incomplete_beta
+from salesloom.functions.student import corr_p_value, incomplete_beta
 
 
 def column(spark, values, kind, fn):
@@ -111,3 +111,21 @@ def test_incomplete_beta_matches_integral():
     area = np.sum((dens[1:] + dens[:-1]) / 2) * (grid[1] - grid[0])
     full = math.gamma(3.5) * math.gamma(2.25) / math.gamma(5.75)
     assert incomplete_beta([3.5], [2.25], [0.37])[0] == pytest.approx(area / full, abs=1e-8)
+
+
+def test_p_values_in_the_plan_equal_the_numpy_ones(spark):
+    rs = [0.0, 1e-4, 0.01, 0.05, 0.2, 0.5, 0.77, 0.95, 0.999999, 1.0]
+    cases = [(s * r, n) for r in rs for s in (1, -1) for n in (3, 4, 5, 7, 12, 30, 101, 1000, 60_000, 10_000_000)]
+    got = spark.createDataFrame(cases, "r double, n long").select("r", "n", corr_p_value(F.col("r"), F.col("n")).alias("p")).collect()
+    want = incomplete_beta([(g["n"] - 2) / 2 for g in got], [0.5] * len(got), [1 - g["r"] ** 2 for g in got])
+    for g, w in zip(got, want):
+        assert g["p"] == pytest.approx(float(w), rel=2e-7, abs=1e-12), g
+    tiny = spark.createDataFrame([(1e-9, 10_000_000)], "r double, n long").select(corr_p_value(F.col("r"), F.col("n"))).first()[0]
+    assert tiny == pytest.approx(math.erfc(1e-9 * math.sqrt(1e7) / math.sqrt(2)), rel=1e-9)
+    odd = spark.createDataFrame([(0.5, 2), (0.5, 0), (None, 9), (0.5, None), (1.5, 9)], "r double, n long")
+    assert [r[0] for r in odd.select(corr_p_value(F.col("r"), F.col("n"))).collect()] == [None, None, None, None, 0.0]
+
+
+def test_p_values_need_no_python(spark):
+    plan = spark.createDataFrame([(0.5, 9)], "r double, n long").select(corr_p_value(F.col("r"), F.col("n")))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
