@@ -243,7 +243,9 @@ def _counts(sets: DataFrame) -> np.ndarray:
 def _families(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """``(bucket, rid, label, short)``: members of open buckets, by family, that share one of their rarest shingles with another
     label; ``short`` where that is one of the few that the smaller set of a pair must share."""
-    family = components(members.select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct())
+    # buckets of one family mostly have one of its smallest ids, so few different edges remain
+    least = members.groupBy("bucket").agg(F.min("rid").alias("b"))
+    family = components(members.join(least, "bucket").select(F.col("rid").alias("a"), "b").distinct())
     named = members.select("rid", "label").distinct().join(family.toDF("rid", "family"), "rid")
     rows = scratch.keep(named.join(sets, "rid").select("family", "set", "rid", "label"), "open")
     counts = _counts(rows)
