@@ -19,6 +19,7 @@ from salesloom.operators.cleaning import join_on
 from salesloom.operators.filters import valid_rows
 from salesloom.operators.spread import attach, running_start
 from salesloom.roles import SALES, Roles
+from salesloom.session import staged
 
 FEATURES = ["price", "is_electric", "is_hybrid"]
 
@@ -80,14 +81,12 @@ def _normal(prefix: str) -> tuple[Column, Column]:
     )
 
 
-def _fit(df: DataFrame, roles: Roles, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Feature rows, and one row per group with scaling, sums of squares and coefficients.
+def _fit(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per group with scaling, sums of squares and coefficients, from feature rows.
 
     One aggregate gives means, deviations and all covariances; dividing these by the deviations
     gives the moments of the standardised features, so the rows are not visited a second time.
     """
-    by = list(by)
-    rows = features(df, roles, by)
     names = FEATURES + ["y"]
     sums = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -113,7 +112,7 @@ def _fit(df: DataFrame, roles: Roles, by: Sequence[str]) -> tuple[DataFrame, Dat
         "sst": F.col("n") * F.col("cyy"),
     })
     scale = [f"{c}_{k}" for c in names for k in ("mean", "std")]
-    return rows, wide.select(*by, "n", "intercept", *coef, "raw_intercept", *raw, "sse", "sst", *scale)
+    return wide.select(*by, "n", "intercept", *coef, "raw_intercept", *raw, "sse", "sst", *scale)
 
 
 def fit(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFrame:
@@ -121,7 +120,7 @@ def fit(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()) -> DataFram
 
     Groups with fewer than five valid rows have no row.
     """
-    return _fit(df, roles, by)[1].select(
+    return _fit(features(df, roles, by), by).select(
         *by, "n", "intercept", *[f"coef_{c}" for c in FEATURES],
         "raw_intercept", *[f"raw_{c}" for c in FEATURES],
     )
@@ -135,9 +134,13 @@ def _predicted(struct: str) -> Column:
 
 
 def train(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (), cross_validate: bool = True) -> DataFrame:
-    """One model row per group: coefficients, scaling, R2, RMSE, MAE, cross-validated R2, mode."""
+    """One model row per group: coefficients, scaling, R2, RMSE, MAE, cross-validated R2, mode.
+
+    The feature rows and the fitted models are written out, as several passes read them.
+    """
     by = list(by)
-    rows, model = _fit(df, roles, by)
+    rows = staged(features(df, roles, by), "features")
+    model = staged(_fit(rows, by), "models")
     raw = rows.select(*by, *FEATURES, "y")
     scored = attach(raw, model, by, "_m", "n").filter(F.col("_m.n").isNotNull())
     error = scored.groupBy(*by).agg(F.avg(F.abs(F.col("y") - _predicted("_m"))).alias("mae"))
@@ -146,7 +149,7 @@ def train(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (), cross_val
     out = model.withColumns({"r2": r2, "rmse": F.sqrt(F.col("sse") / F.col("n"))})
     extras = [(error, ["mae"])]
     if cross_validate:
-        extras.append((cross_validation(df, roles, by), ["cv_r2_mean"]))
+        extras.append((_cross_validated(rows, roles, by, 5), ["cv_r2_mean"]))
     for table, names in extras:
         if by:
             out = join_on(out, table.select(*by, *names), by, "left")
@@ -158,19 +161,17 @@ def train(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (), cross_val
     return out.withColumn("mode", F.when(F.col("r2") >= 0, "predictive").otherwise("exploratory"))
 
 
-def _folded_cells(df: DataFrame, roles: Roles, by: Sequence[str], folds: int) -> DataFrame:
-    """Distinct feature rows with fold number and count.
+def _folded_cells(rows: DataFrame, roles: Roles, by: Sequence[str], folds: int) -> DataFrame:
+    """Distinct ones of the feature rows with fold number and count.
 
     Folds are contiguous in the order of entity group and entity.  Equal rows are one cell that
     covers a stretch of positions; a cell across a fold border is split by its overlap with each
     fold, so no row-level numbering is needed.  The first ``n % k`` folds hold one row more.
     """
     by = list(by)
-    rows = features(df, roles, by)
     order = [roles.dim, roles.item, "price", "y", "is_electric", "is_hybrid"]
     cells = rows.groupBy(*by, *order).agg(F.count(F.lit(1)).alias("c"))
-    placed = running_start(cells, order, "c", by)
-    # from the placed cells, which start at a checkpoint, not from the source again
+    placed = staged(running_start(cells, order, "c", by), "placed")
     sizes = placed.groupBy(*by).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("w"))
     wide = attach(placed, sizes, by, "_z", "w")
     n = F.col("_z.n")
@@ -192,7 +193,7 @@ def _folded_cells(df: DataFrame, roles: Roles, by: Sequence[str], folds: int) ->
 
 def fold_sizes(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = (), folds: int = 5) -> DataFrame:
     """Rows and volume of every fold."""
-    return _folded_cells(df, roles, by, folds).groupBy(*by, "fold").agg(
+    return _folded_cells(features(df, roles, by), roles, by, folds).groupBy(*by, "fold").agg(
         F.sum("w").cast("bigint").alias("rows"), F.sum(F.col("w") * F.col("y")).alias("volume"))
 
 
@@ -203,11 +204,14 @@ def cross_validation(df: DataFrame, roles: Roles = SALES, by: Sequence[str] = ()
     the group's means, which keeps the subtraction harmless.  At most ``folds`` small systems per
     group are solved.
     """
+    return _cross_validated(staged(features(df, roles, by), "features"), roles, by, folds)
+
+
+def _cross_validated(rows: DataFrame, roles: Roles, by: Sequence[str], folds: int) -> DataFrame:
     by = list(by)
-    cells = _folded_cells(df, roles, by, folds)
+    cells = _folded_cells(rows, roles, by, folds)
     # scaling is the whole group's, as the features are scaled before they are split
-    stats = features(df, roles, by)
-    scale = scaling(stats, by, FEATURES + ["y"])
+    scale = staged(scaling(rows, by, FEATURES + ["y"]), "scaling")
     ready = attach(cells, scale, by, "_s", "n").withColumns(
         {f"z{i}": scaled(c, "_s") for i, c in enumerate(FEATURES)}
         | {"t": F.col("y") - F.col("_s.y_mean")}

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from salesloom.session import cut_lineage
+from salesloom.session import staged
 
 # Groups holding more than 1/HOT_SHARE of all rows get their own treatment (with many partitions,
 # smaller ones too).  Fewer than HOT_SHARE groups can, so the list of them is safe to broadcast.
@@ -201,16 +201,15 @@ def running_start(cells: DataFrame, order: Sequence[str], weight: str, by: Seque
 
     A prefix sum without a window over a whole group: rows are range-partitioned on keys and
     order, summed inside each range, and shifted by the totals of the earlier ranges.  The ranges
-    are fixed by a checkpoint, since both passes must see the same ones.  Rows of a group must be
+    are written out with the rows, since both passes must see the same ones.  Rows of a group must be
     distinct on ``order``.
     """
     by, order = list(by), list(order)
     spark = cells.sparkSession
     if partitions is None:
         partitions = partitions_of(spark)
-    ranged = cut_lineage(
-        cells.repartitionByRange(partitions, *by, *order).withColumn("_range", F.spark_partition_id())
-    )
+    ranged = staged(
+        cells.repartitionByRange(partitions, *by, *order).withColumn("_range", F.spark_partition_id()), "ranged")
     inside = (
         Window.partitionBy(*by, "_range").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
