@@ -56,15 +56,25 @@ class Marks(WordTable):
 
     def __init__(self, limit: int = BLOCK_WORDS):
         super().__init__(limit)
-        self.cells = np.zeros(1024, "int64")
+        self.cells, self.new = np.zeros(1024, "int64"), []
 
     def __missing__(self, word: bytes) -> int:
-        number = super().__missing__(word)
-        if number == len(self.cells):
-            self.cells = np.concatenate([self.cells, np.zeros(number, "int64")])
-        self.cells[number] = zlib.crc32(word[-2:]) % CLASSES * SLOTS + (int(self.values[number]) >> 20) % SLOTS
+        number = self[word] = len(self)
+        self.new.append(word)
         return number
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        found = super().numbers(words)
+        if self.new:  # hashes and cells of all new words at once
+            size, first = len(self), len(self) - len(self.new)
+            if size > len(self.values):
+                self.values, self.cells = (np.concatenate([x, np.zeros(max(size, len(x)), x.dtype)]) for x in (self.values, self.cells))
+            self.values[first:size] = hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.new], "uint64")
+            classes = np.array([zlib.crc32(w[-2:]) for w in self.new], "int64") % CLASSES
+            self.cells[first:size] = classes * SLOTS + (hashes >> np.uint64(20)).astype("int64") % SLOTS
+            self.new = []
+        return found
+
 
 def tokens_of(text: bytes) -> list[bytes]:
     words = text.lower().split()
@@ -91,9 +101,13 @@ def slot_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.stack([f + (r * 31 + classes * 7919) % n for r, n, f in zip(rows, size, first)])
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+def _softmax(z: np.ndarray, scale: bool = True) -> np.ndarray:
+    """Without ``scale``, the exponentials before they are divided by their sum."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    if scale:
+        z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
 class Model:
@@ -102,20 +116,21 @@ class Model:
     def __init__(self, weights: np.ndarray, class_bias: np.ndarray, slot_bias: np.ndarray):
         self.weights, self.class_bias, self.slot_bias = weights, class_bias, slot_bias
 
-    def forward(self, rows: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def forward(self, rows: np.ndarray, cells: np.ndarray, scale: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows for the slots, and the two softmaxes of each token."""
         classes = cells // SLOTS
         deep = slot_rows(rows, classes)
         top, low = self.weights[:, :CLASSES], self.weights[:, CLASSES:]
-        p = _softmax(top[rows[0]] + top[rows[1]] + top[rows[2]] + self.class_bias)
-        q = _softmax(low[deep[0]] + low[deep[1]] + low[deep[2]] + self.slot_bias[classes])
+        p = _softmax(top[rows[0]] + top[rows[1]] + top[rows[2]] + self.class_bias, scale)
+        q = _softmax(low[deep[0]] + low[deep[1]] + low[deep[2]] + self.slot_bias[classes], scale)
         return deep, p, q
 
     def log10(self, rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """log10 of P(class | history) * P(slot | class, history) of each token."""
-        _, p, q = self.forward(rows, cells)
+        _, p, q = self.forward(rows, cells, scale=False)
         at = np.arange(len(cells))
-        return np.log10(p[at, cells // SLOTS].astype("float64")) + np.log10(q[at, cells % SLOTS].astype("float64"))
+        share = lambda e, k: np.log10((e[at, k] / e.sum(axis=1)).astype("float64"))
+        return share(p, cells // SLOTS) + share(q, cells % SLOTS)
 
     def step(self, rows: np.ndarray, cells: np.ndarray, seen: np.ndarray) -> None:
         """One gradient step over these tokens, with step sizes that fall with what a weight has seen."""
@@ -124,13 +139,11 @@ class Model:
         p[at, cells // SLOTS] -= 1
         q[at, cells % SLOTS] -= 1
         for where, slope, columns in ((rows, p, slice(0, CLASSES)), (deep, q, slice(CLASSES, _WIDTH))):
-            flat = where.ravel().astype("uint16")
-            order = np.argsort(flat, kind="stable")
-            used, begin = np.unique(flat[order], return_index=True)
-            total = np.add.reduceat(slope[order % len(cells)], begin)
-            part = seen[used, columns] + total ** 2
-            seen[used, columns] = part
-            self.weights[used, columns] -= RATE * total / np.sqrt(part)
+            flat, each = where.ravel(), np.tile(slope.T, len(where))
+            # a row that no token has keeps its weights
+            total = np.stack([np.bincount(flat, w, ROWS) for w in each], axis=1).astype("float32")
+            seen[:, columns] += total * total
+            self.weights[:, columns] -= RATE * total / np.sqrt(seen[:, columns])
 
 
 ENCODED = "kind int, block long, doc_id long, held boolean, bucket int, payload binary"
@@ -330,15 +343,27 @@ def _scorer(shared: Broadcast, buckets: int):
             if bucket is not None:
                 counts[dealt[bucket]] = np.frombuffer(payload, "<u8")
         gain, weight = np.log10(counts + 1.0), np.log10(masses)
-        out = []
-        for doc_id, held, packed in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held", "payload"))):
-            numbers = _unpack_numbers(packed)
-            own = float(gain[numbers].sum())
+        out, waiting, size_of = [], [], 0
+
+        def told_rows() -> list[tuple]:
+            """Scores of the waiting documents, whose tokens go through the model together."""
+            numbers = np.concatenate([n for _, _, n in waiting])
+            starts = np.cumsum([0] + [len(n) for _, _, n in waiting[:-1]])
             cell = all_cells[numbers]
-            history = history_rows(values[numbers], np.zeros(1, "int64"))
-            near = sum(float(model.log10(history[:, a:a + STEP_TOKENS], cell[a:a + STEP_TOKENS]).sum()) for a in range(0, len(cell), STEP_TOKENS))
-            out.append((doc_id, held, len(numbers), int((counts[numbers] > 0).sum()), own - len(numbers) * float(np.log10(size)),
-                        own + near - float(weight[cell].sum())))
+            history = history_rows(values[numbers], starts)
+            near = np.concatenate([model.log10(history[:, a:a + STEP_TOKENS], cell[a:a + STEP_TOKENS]) for a in range(0, len(cell), STEP_TOKENS)])
+            own, drawn, known = (np.add.reduceat(x, starts).tolist() for x in (
+                gain[numbers], near - weight[cell], (counts[numbers] > 0).astype("int64")))
+            return [(d, h, len(n), k, o - len(n) * float(np.log10(size)), o + r) for (d, h, n), k, o, r in zip(waiting, known, own, drawn)]
+
+        for doc_id, held, packed in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held", "payload"))):
+            waiting.append((doc_id, held, _unpack_numbers(packed)))
+            size_of += len(waiting[-1][2])
+            if size_of >= 4 * STEP_TOKENS:
+                out += told_rows()
+                waiting, size_of = [], 0
+        if waiting:
+            out += told_rows()
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 6, _SCORED)], schema=_SCORED)
 
     return run

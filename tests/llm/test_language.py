@@ -120,3 +120,32 @@ def test_query_beats_the_base_on_held_out_documents(spark):
     same(got, brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]))
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > 0.995 * sum(r.base_score for r in out)
+
+
+def test_documents_go_through_the_model_together(monkeypatch):
+    """Tokens of many short documents are one step; each document has its own sums and its own history."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    texts = [b"a b c a", b"", b"b b", b"c a b d e f"] * 30
+    table = G.Marks()
+    numbers = [table.numbers(G.tokens_of(t)) for t in texts]
+    rng = np.random.default_rng(5)
+    model = G.Model(rng.normal(0, 0.3, (G.ROWS, G.CLASSES + G.SLOTS)).astype("float32"), np.zeros(G.CLASSES, "float32"),
+                    np.zeros((G.CLASSES, G.SLOTS), "float32"))
+    masses = np.full(G.CLASSES * G.SLOTS, 2.0)
+    docs = pa.table({"block": [0] * len(texts), "doc_id": range(len(texts)), "held": [False] * len(texts),
+                     "payload": pa.array([G._pack_numbers(n) for n in numbers], pa.binary())})
+    sent = [len(k) for _, k in G._by_bucket(table.values[:len(table)], 1)]
+    told = pa.table({"block": [0, 0], "bucket": pa.array([None, 0], pa.int32()), "payload": pa.array(
+        [b"\n".join(table), np.ones(sent[0], "<u8").tobytes()], pa.binary())})
+    calls, plain = [], G.Model.log10
+    monkeypatch.setattr(G.Model, "log10", lambda self, r, c: calls.append(len(c)) or plain(self, r, c))
+    got = G._scorer(SimpleNamespace(value=(model, masses, 50)), 1)(docs, told).to_pylist()
+    assert len(calls) == 1 and [r["doc_id"] for r in got] == list(range(len(texts)))
+    for r, n in zip(got, numbers):
+        rows, cells = G.history_rows(table.values[n], np.zeros(1, "int64")), table.cells[n]
+        want = len(n) * math.log10(2) + float(plain(model, rows, cells).sum()) - len(n) * math.log10(2)
+        assert r["n_tokens"] == r["n_known"] == len(n)
+        assert r["base_score"] == pytest.approx(len(n) * math.log10(2 / 50)) and r["score"] == pytest.approx(want, rel=1e-6)
