@@ -140,8 +140,11 @@ class Model:
         q[at, cells % SLOTS] -= 1
         for where, slope, columns in ((rows, p, slice(0, CLASSES)), (deep, q, slice(CLASSES, _WIDTH))):
             flat, each = where.ravel(), np.tile(slope.T, len(where))
+            sums = np.zeros((len(each), ROWS), "float32")
+            for column, slopes in zip(sums, each):
+                np.add.at(column, flat, slopes)
             # a row that no token has keeps its weights
-            total = np.stack([np.bincount(flat, w, ROWS) for w in each], axis=1).astype("float32")
+            total = np.ascontiguousarray(sums.T)
             seen[:, columns] += total * total
             self.weights[:, columns] -= RATE * total / np.sqrt(seen[:, columns])
 
