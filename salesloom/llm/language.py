@@ -35,11 +35,14 @@ from pyspark.sql import functions as F
 from salesloom.llm.common import Scratch, WordTable, cells, rows_in, text_bytes
 from salesloom.session import staged
 
+#: As many slots as classes, so that both halves of a row of weights are equally wide.
 CLASSES, SLOTS = 32, 32
 #: Rows of weights for the word before, the word two before, and both.
 BEFORE, SKIP, BOTH = 2048, 1024, 1024
 ROWS = BEFORE + SKIP + BOTH
 ROUNDS, STEP_TOKENS, RATE = 3, 8192, 0.15
+#: Tokens of a step that go through the model at once; what they need stays in a processor's own cache.
+PIECE = 2048
 #: No white space is in a word, so this cannot be one.
 END = b" "
 BLOCK_TOKENS, BLOCK_WORDS = 1_500_000, 400_000
@@ -101,12 +104,22 @@ def slot_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.stack([f + (r * 31 + classes * 7919) % n for r, n, f in zip(rows, size, first)])
 
 
+def _column_sums(e: np.ndarray) -> np.ndarray:
+    """Sum of each column; rows are added in the order in which numpy adds up contiguous numbers."""
+    eight = e[:8] + e[8:16]
+    for at in range(16, len(e), 8):
+        eight += e[at:at + 8]
+    four = eight[0::2] + eight[1::2]
+    two = four[0::2] + four[1::2]
+    return two[0] + two[1]
+
+
 def _softmax(z: np.ndarray, scale: bool = True) -> np.ndarray:
-    """Without ``scale``, the exponentials before they are divided by their sum."""
-    z -= z.max(axis=1, keepdims=True)
+    """Of each column; without ``scale``, the exponentials before they are divided by their sum."""
+    z -= z.max(axis=0)
     np.exp(z, out=z)
     if scale:
-        z /= z.sum(axis=1, keepdims=True)
+        z /= _column_sums(z)
     return z
 
 
@@ -116,37 +129,72 @@ class Model:
     def __init__(self, weights: np.ndarray, class_bias: np.ndarray, slot_bias: np.ndarray):
         self.weights, self.class_bias, self.slot_bias = weights, class_bias, slot_bias
 
-    def forward(self, rows: np.ndarray, cells: np.ndarray, scale: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows for the slots, and the two softmaxes of each token."""
-        classes = cells // SLOTS
-        deep = slot_rows(rows, classes)
-        top, low = self.weights[:, :CLASSES], self.weights[:, CLASSES:]
-        p = _softmax(top[rows[0]] + top[rows[1]] + top[rows[2]] + self.class_bias, scale)
-        q = _softmax(low[deep[0]] + low[deep[1]] + low[deep[2]] + self.slot_bias[classes], scale)
-        return deep, p, q
+    def _sums(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Sums of the weights in three half rows per token and of its bias, a column per token."""
+        halves = _halves(self.weights)
+        total, more = (np.empty((rows.shape[1], halves.shape[1]), halves.dtype) for _ in range(2))
+        np.take(halves, rows[0], axis=0, out=total, mode="clip")
+        for k in rows[1:]:
+            total += np.take(halves, k, axis=0, out=more, mode="clip")
+        return np.ascontiguousarray((total + bias).T)
+
+    def forward(self, rows: np.ndarray, deep: np.ndarray, classes: np.ndarray, scale: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The two softmaxes, a column per token; ``deep`` are the rows for the slots."""
+        p = _softmax(self._sums(2 * rows, self.class_bias), scale)
+        q = _softmax(self._sums(2 * deep + 1, self.slot_bias[classes]), scale)
+        return p, q
 
     def log10(self, rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """log10 of P(class | history) * P(slot | class, history) of each token."""
-        _, p, q = self.forward(rows, cells, scale=False)
-        at = np.arange(len(cells))
-        share = lambda e, k: np.log10((e[at, k] / e.sum(axis=1)).astype("float64"))
-        return share(p, cells // SLOTS) + share(q, cells % SLOTS)
+        out = np.empty(len(cells))
+        share = lambda e, k: np.log10((e[k, np.arange(len(k))] / _column_sums(e)).astype("float64"))
+        for at in range(0, len(cells), PIECE):
+            some, piece = rows[:, at:at + PIECE], cells[at:at + PIECE]
+            classes = piece // SLOTS
+            p, q = self.forward(some, slot_rows(some, classes), classes, scale=False)
+            out[at:at + PIECE] = share(p, classes) + share(q, piece % SLOTS)
+        return out
 
     def step(self, rows: np.ndarray, cells: np.ndarray, seen: np.ndarray) -> None:
-        """One gradient step over these tokens, with step sizes that fall with what a weight has seen."""
-        deep, p, q = self.forward(rows, cells)
-        at = np.arange(len(cells))
-        p[at, cells // SLOTS] -= 1
-        q[at, cells % SLOTS] -= 1
-        for where, slope, columns in ((rows, p, slice(0, CLASSES)), (deep, q, slice(CLASSES, _WIDTH))):
-            flat, each = where.ravel(), np.tile(slope.T, len(where))
-            sums = np.zeros((len(each), ROWS), "float32")
-            for column, slopes in zip(sums, each):
-                np.add.at(column, flat, slopes)
-            # a row that no token has keeps its weights
-            total = np.ascontiguousarray(sums.T)
-            seen[:, columns] += total * total
-            self.weights[:, columns] -= RATE * total / np.sqrt(seen[:, columns])
+        """One gradient step over these tokens, with step sizes that fall with what a weight has seen.
+
+        Two columns are added up at a time, as the parts of complex numbers.
+        """
+        classes = cells // SLOTS
+        deep, half = slot_rows(rows, classes), CLASSES // 2
+        # a row that no token has keeps its weights
+        (used, place), (used_deep, place_deep) = _used(rows), _used(deep)
+        kind = np.result_type(self.weights, "complex64")
+        sums, sums_deep = np.zeros((half, len(used)), kind), np.zeros((half, len(used_deep)), kind)
+        for at in range(0, len(cells), PIECE):
+            span = slice(at, at + PIECE)
+            p, q = self.forward(rows[:, span], deep[:, span], classes[span])
+            tokens = np.arange(p.shape[1])
+            p[classes[span], tokens] -= 1
+            q[cells[span] % SLOTS, tokens] -= 1
+            pairs = np.empty((half, len(tokens)), kind)
+            for slope, where, total in ((p, place, sums), (q, place_deep, sums_deep)):
+                pairs.real, pairs.imag = slope[:half], slope[half:]
+                for column, slopes in zip(total, pairs):
+                    for k in where:
+                        np.add.at(column, k[span], slopes)
+        weights, squares = _halves(self.weights), _halves(seen)
+        for which, total in ((2 * used, sums), (2 * used_deep + 1, sums_deep)):
+            slope = np.concatenate([total.real, total.imag]).T
+            squares[which] = part = squares[which] + slope * slope
+            weights[which] -= RATE * slope / np.sqrt(part)
+
+
+def _halves(table: np.ndarray) -> np.ndarray:
+    """A table of ROWS rows with two rows for each: its columns for classes, then those for slots."""
+    return table.reshape(2 * ROWS, CLASSES)
+
+
+def _used(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, ascending, and the place of each given one among them."""
+    there = np.zeros(ROWS, bool)
+    there[rows] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[rows]
 
 
 ENCODED = "kind int, block long, doc_id long, held boolean, bucket int, payload binary"

@@ -149,3 +149,30 @@ def test_documents_go_through_the_model_together(monkeypatch):
         want = len(n) * math.log10(2) + float(plain(model, rows, cells).sum()) - len(n) * math.log10(2)
         assert r["n_tokens"] == r["n_known"] == len(n)
         assert r["base_score"] == pytest.approx(len(n) * math.log10(2 / 50)) and r["score"] == pytest.approx(want, rel=1e-6)
+
+
+def test_a_step_goes_through_the_model_in_pieces(monkeypatch):
+    """No more than PIECE tokens at once, with the weights that plain sums over the whole step give."""
+    rng = np.random.default_rng(6)
+    n = 2 * G.PIECE + 77
+    rows = np.stack([rng.integers(0, G.BEFORE, n), G.BEFORE + rng.integers(0, G.SKIP, n), G.BEFORE + G.SKIP + rng.integers(0, 9, n)])
+    cells = rng.integers(0, G.CLASSES * G.SLOTS, n)
+    weights = rng.normal(0, 0.3, (G.ROWS, G.CLASSES + G.SLOTS))
+    bias, slot_bias = rng.normal(size=G.CLASSES), rng.normal(size=(G.CLASSES, G.SLOTS))
+    sizes, plain = [], G.Model.forward
+    monkeypatch.setattr(G.Model, "forward", lambda self, r, *more, **named: sizes.append(r.shape[1]) or plain(self, r, *more, **named))
+    model, seen = G.Model(weights.copy(), bias, slot_bias), np.ones(weights.shape)
+    model.step(rows, cells, seen)
+    assert max(sizes) <= G.PIECE and sum(sizes) == n
+
+    slope = np.zeros(weights.shape)
+    deep = G.slot_rows(rows, cells // G.SLOTS)
+    for where, columns, own, at in ((rows, slice(0, G.CLASSES), bias, cells // G.SLOTS),
+                                    (deep, slice(G.CLASSES, None), slot_bias[cells // G.SLOTS], cells % G.SLOTS)):
+        z = np.exp(weights[where, columns].sum(axis=0) + own)
+        z /= z.sum(axis=1, keepdims=True)
+        z[np.arange(n), at] -= 1
+        for k in where:
+            np.add.at(slope[:, columns], k, z)
+    assert np.allclose(seen, 1 + slope ** 2) and np.allclose(model.weights, weights - G.RATE * slope / np.sqrt(1 + slope ** 2))
+    assert (model.weights[G.BEFORE + G.SKIP + 9:, :G.CLASSES] == weights[G.BEFORE + G.SKIP + 9:, :G.CLASSES]).all()
