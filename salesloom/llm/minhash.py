@@ -25,7 +25,6 @@ an empty table gives no rows; further columns are ignored by ``link`` and kept b
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -177,18 +176,19 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     names = scratch.keep(classes.select("key", "rid", "n"), "names")
     scratch.drop(signed, classes)
 
-    edges, labels = [], names.select(F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
+    labels = names.select(F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
     for turn in range(PIVOTS):
         if members.isEmpty():
             break
-        edges.append(scratch.keep(_links(_pivot_pairs(members), signs, sets, percent), "links"))
-        labels = components(reduce(DataFrame.union, edges))
+        links = scratch.keep(_links(_pivot_pairs(members), signs, sets, percent), "links")
+        labels = _joined(labels, components(_spokes(links)), scratch)
         before, members = members, scratch.keep(_next_members(members, labels, turn), "members")
-        scratch.drop(before)
+        scratch.drop(before, links)
     if not members.isEmpty():
-        edges.append(scratch.keep(_links_of_cells(_families(members, sets, percent, scratch), sets, percent), "links"))
-        labels = components(reduce(DataFrame.union, edges))
-    scratch.drop(members, signs, sets, *edges)
+        links = scratch.keep(_links_of_cells(_families(members, sets, percent, scratch), sets, percent), "links")
+        labels = _joined(labels, components(_between(links, labels)), scratch)
+        scratch.drop(links)
+    scratch.drop(members, signs, sets)
 
     where = names.join(labels, names["rid"] == labels["node"], "left").select(
         "key", "n", F.coalesce("component", "rid").alias("component"))
@@ -197,9 +197,35 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
 
 
 def _pivot_pairs(members: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of a member and its pivot."""
+    """Pairs ``(a, b)`` of a member and its pivot, with their labels."""
     return members.filter("label != pivot_label").select(
-        F.greatest("rid", "pivot").alias("a"), F.least("rid", "pivot").alias("b")).distinct()
+        F.col("rid").alias("a"), F.col("pivot").alias("b"), "label", "pivot_label").distinct()
+
+
+def _spokes(links: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` between labels that connect what the links of members ``(a, label, pivot_label)`` connect.
+
+    A member has a link in each of its buckets, BANDS at most.  One of them, to the smallest label, becomes an edge of its own;
+    that the other labels hang together with this one is the same edge for all members of a group.
+    """
+    near = links.groupBy("a", "label").agg(F.sort_array(F.collect_set("pivot_label")).alias("near"))
+    edge = F.transform("near", lambda to, k: F.struct(F.when(k == 0, F.col("label")).otherwise(to).alias("a"), F.col("near")[0].alias("b")))
+    return near.select(F.inline(edge)).distinct()
+
+
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` between the labels of linked members."""
+    of = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
+    to = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
+    return links.join(of, "a", "left").join(to, "b", "left").select(
+        F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
+
+
+def _joined(labels: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, component)`` of the members in ``labels`` and of those new in ``found``, the components of labels."""
+    to = found.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return scratch.keep(known.union(found.join(labels.select("node"), "node", "left_anti").select("node", "component")), "labels")
 
 
 def _slots(shingles: np.ndarray, family: int) -> np.ndarray:
@@ -245,7 +271,8 @@ def _families(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     label; ``short`` where that is one of the few that the smaller set of a pair must share."""
     # buckets of one family mostly have one of its smallest ids, so few different edges remain
     least = members.groupBy("bucket").agg(F.min("rid").alias("b"))
-    family = components(members.join(least, "bucket").select(F.col("rid").alias("a"), "b").distinct())
+    family = components(_spokes(members.join(least, "bucket").select(
+        F.col("rid").alias("a"), F.col("rid").alias("label"), F.col("b").alias("pivot_label"))))
     named = members.select("rid", "label").distinct().join(family.toDF("rid", "family"), "rid")
     rows = scratch.keep(named.join(sets, "rid").select("family", "set", "rid", "label"), "open")
     counts = _counts(rows)
@@ -279,12 +306,12 @@ def _families(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
 
 
 def _links(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that the full sets confirm."""
+    """The pairs ``(a, b)`` that the full sets confirm, with their further columns."""
     of = signs.select("rid", "signature")
     likely = pairs.join(of.toDF("a", "sa"), "a").join(of.toDF("b", "sb"), "b").filter(
-        estimated(F.col("sa"), F.col("sb")) >= _cut(percent)).select("a", "b")
+        estimated(F.col("sa"), F.col("sb")) >= _cut(percent)).select(*pairs.columns)
     found = likely.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
-    return found.filter(_confirm(percent)("set_a", "set_b")).select("a", "b")
+    return found.filter(_confirm(percent)("set_a", "set_b")).select(*pairs.columns)
 
 
 def _next_members(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:

@@ -221,3 +221,33 @@ def test_query(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     assert len({c for _, c in expected.values()}) < len(expected)
+
+
+def test_a_large_group_has_about_one_edge_per_member(spark, monkeypatch):
+    """Near copies share many buckets, each with a smallest member of its own; edges do not grow with their number."""
+    given, plain = [], minhash.components
+
+    def watched(edges):
+        given.append(edges.count())
+        return plain(edges)
+
+    monkeypatch.setattr(minhash, "components", watched)
+    rng = random.Random(11)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for k in range(400):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert got == {k: c for k, (_, c) in brute(rows, 3, 80).items()}
+    assert max(given) < 3 * len(rows)
+
+
+def test_spokes_connect_what_links_connect(spark):
+    rng = random.Random(12)
+    links = [(a, a, b) for a in range(100, 160) for b in rng.sample(range(40), rng.randrange(1, 5))]
+    links += [(200, 30, 7), (201, 30, 8), (202, 50, 51)]
+    plain = spark.createDataFrame([x[1:] for x in links], "a long, b long")
+    spokes = minhash._spokes(spark.createDataFrame(links, "a long, label long, pivot_label long"))
+    assert sorted(components(spokes).collect()) == sorted(components(plain).collect())
