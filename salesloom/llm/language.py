@@ -23,7 +23,10 @@ unknown; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import Scratch, WordTable, cells, rows_in, text_bytes
+from salesloom.llm.common import Scratch, cells, rows_in, text_bytes
 from salesloom.session import staged
 
 #: As many slots as classes, so that both halves of a row of weights are equally wide.
@@ -54,28 +57,39 @@ TASK_TOKENS = 200_000
 _WIDTH = CLASSES + SLOTS
 
 
-class Marks(WordTable):
-    """Numbers words as ``WordTable`` does, with the cell (class and slot) of each."""
+@lru_cache(maxsize=1)
+def _class_of_ending() -> np.ndarray:
+    """Classes of words by their last two bytes, then by a single one, then of no byte."""
+    endings = [bytes((a, b)) for a in range(256) for b in range(256)] + [bytes((a,)) for a in range(256)] + [b""]
+    return np.array([zlib.crc32(e) % CLASSES for e in endings], "int64")
 
-    def __init__(self, limit: int = BLOCK_WORDS):
-        super().__init__(limit)
-        self.cells, self.new = np.zeros(1024, "int64"), []
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
+def marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and cell (class and slot) of each word."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "uint64", len(words))
+    size = np.fromiter(map(len, words), "int64", len(words))
+    # two bytes ahead, so that the first words have something before them
+    whole, end = np.frombuffer(b"\0\0" + b"".join(words), "uint8"), np.cumsum(size)
+    before, last = whole[end].astype("int64"), whole[end + 1].astype("int64")
+    ending = np.where(size > 1, 256 * before + last, np.where(size == 1, 65_536 + last, 65_792))
+    return hashes, _class_of_ending()[ending] * SLOTS + (hashes >> np.uint64(20)).astype("int64") % SLOTS
+
+
+class Marks(defaultdict):
+    """Numbers words in order of appearance; ``values`` and ``cells`` hold the hash and the cell of each."""
+
+    def __init__(self):
+        super().__init__(count().__next__)
+        self.values, self.cells = np.zeros(1024, "uint64"), np.zeros(1024, "int64")
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        found = super().numbers(words)
-        if self.new:  # hashes and cells of all new words at once
-            size, first = len(self), len(self) - len(self.new)
+        first = len(self)
+        found = np.fromiter(map(self.__getitem__, words), "int64", len(words))
+        if (size := len(self)) > first:  # hashes and cells of all new words at once
             if size > len(self.values):
                 self.values, self.cells = (np.concatenate([x, np.zeros(max(size, len(x)), x.dtype)]) for x in (self.values, self.cells))
-            self.values[first:size] = hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.new], "uint64")
-            classes = np.array([zlib.crc32(w[-2:]) for w in self.new], "int64") % CLASSES
-            self.cells[first:size] = classes * SLOTS + (hashes >> np.uint64(20)).astype("int64") % SLOTS
-            self.new = []
+            new = list(islice(reversed(self), size - first))[::-1]
+            self.values[first:size], self.cells[first:size] = marked(new)
         return found
 
 
@@ -180,7 +194,7 @@ class Model:
                         np.add.at(column, k[span], slopes)
         weights, squares = _halves(self.weights), _halves(seen)
         for which, total in ((2 * used, sums), (2 * used_deep + 1, sums_deep)):
-            slope = np.concatenate([total.real, total.imag]).T
+            slope = np.ascontiguousarray(np.concatenate([total.real, total.imag]).T)
             squares[which] = part = squares[which] + slope * slope
             weights[which] -= RATE * slope / np.sqrt(part)
 
@@ -230,18 +244,29 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]
 def _encode(batches: Iterable[pa.RecordBatch], block_tokens: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Documents as numbers of the words of their block, the words of each block, and its counts by bucket."""
     part, closed = TaskContext.get().partitionId(), 0
-    table, docs, tokens = Marks(1 << 23), [], 0
-    counts = np.zeros(1024, "int64")
+    table, docs, tokens = Marks(), [], 0
+    counts, learnt = np.zeros(0, "int64"), []
+
+    def add_up() -> None:
+        """Counts of the documents since the last time; one by one, each would pass over all words of the block."""
+        nonlocal counts
+        if learnt:
+            more = np.bincount(np.concatenate(learnt), minlength=len(table))
+            more[:len(counts)] += counts
+            counts = more
+            learnt.clear()
 
     def block_rows() -> Iterator[pa.RecordBatch]:
         block, size = (part << 24) + closed, len(table)
+        add_up()
         if docs:
             for at in range(0, len(docs), 500):
                 ids, held, numbers = zip(*docs[at:at + 500])
                 yield _rows(len(ids), kind=DOCUMENT, block=block, doc_id=ids, held=held, payload=numbers)
             yield _rows(1, kind=WORDS, block=block, payload=[b"\n".join(table)])
             entries = np.zeros(size, _ENTRY)
-            entries["hash"], entries["n"], entries["cell"] = table.values[:size], counts[:size], table.cells[:size]
+            entries["hash"], entries["cell"] = table.values[:size], table.cells[:size]
+            entries["n"][:len(counts)] = counts
             dealt = _by_bucket(entries["hash"], buckets)
             yield _rows(len(dealt), kind=COUNTS, block=block, bucket=[b for b, _ in dealt],
                         payload=[b"".join(entries[k][c].tobytes() for c in _ENTRY.names) for _, k in dealt])
@@ -249,16 +274,15 @@ def _encode(batches: Iterable[pa.RecordBatch], block_tokens: int, buckets: int)
     for batch in rows_in(batches):
         for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns)):
             numbers = table.numbers(tokens_of(text))
-            if len(counts) < len(table):
-                counts = np.concatenate([counts, np.zeros(len(table), "int64")])
             if not held:
-                counts[:len(table)] += np.bincount(numbers, minlength=len(table))
+                learnt.append(numbers)
             docs.append((doc_id, held, _pack_numbers(numbers)))
             tokens += len(numbers)
             if tokens > block_tokens or len(table) > BLOCK_WORDS:
                 yield from block_rows()
-                table, docs, tokens, closed = Marks(1 << 23), [], 0, closed + 1
-                counts = np.zeros(1024, "int64")
+                table, docs, tokens, closed = Marks(), [], 0, closed + 1
+                counts = np.zeros(0, "int64")
+        add_up()
     yield from block_rows()
 
 
@@ -310,27 +334,25 @@ def _trainer(shared: Broadcast):
         start = shared.value
         model = Model(start.weights.copy(), start.class_bias, start.slot_bias)
         seen = np.ones_like(model.weights)
-        table, values, cells, starts, waiting, total = Marks(), [], [], [], 0, 0
+        words, starts, total = [], [], 0
 
         def step() -> None:
-            v, c = np.concatenate(values), np.concatenate(cells)
+            v, c = marked(words)
             rows = history_rows(v, np.array(starts))
             for at in range(0, len(c), STEP_TOKENS):
                 model.step(rows[:, at:at + STEP_TOKENS], c[at:at + STEP_TOKENS], seen)
 
         for batch in rows_in(batches):
             for text in batch.column(0).to_pylist():
-                numbers = table.numbers(tokens_of(text))
-                starts.append(waiting)
-                values.append(table.values[numbers])
-                cells.append(table.cells[numbers])
-                waiting += len(numbers)
-                total += len(numbers)
-                if waiting >= STEP_TOKENS:
+                starts.append(len(words))
+                words += tokens_of(text)
+                if len(words) >= STEP_TOKENS:
                     step()
-                    values, cells, starts, waiting = [], [], [], 0
-        if waiting:
+                    total += len(words)
+                    words, starts = [], []
+        if words:
             step()
+            total += len(words)
         if total:
             parts = np.array_split(model.weights, CHUNKS)
             part = TaskContext.get().partitionId()
@@ -386,9 +408,7 @@ def _scorer(shared: Broadcast, buckets: int):
         model, masses, size = shared.value
         rows = list(zip(*(told.column(c).to_pylist() for c in ("bucket", "payload"))))
         words = next((p for b, p in rows if b is None), b"").split(b"\n")
-        table = Marks(1 << 23)
-        table.numbers(words)
-        values, all_cells = table.values[:len(words)], table.cells[:len(words)]
+        values, all_cells = marked(words)
         counts, dealt = np.zeros(len(words), "int64"), dict(_by_bucket(values, buckets))
         for bucket, payload in rows:
             if bucket is not None:

@@ -1,9 +1,12 @@
 import math
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from salesloom.llm import language as G
 
@@ -176,3 +179,28 @@ def test_a_step_goes_through_the_model_in_pieces(monkeypatch):
             np.add.at(slope[:, columns], k, z)
     assert np.allclose(seen, 1 + slope ** 2) and np.allclose(model.weights, weights - G.RATE * slope / np.sqrt(1 + slope ** 2))
     assert (model.weights[G.BEFORE + G.SKIP + 9:, :G.CLASSES] == weights[G.BEFORE + G.SKIP + 9:, :G.CLASSES]).all()
+
+
+def test_words_are_marked_at_once_as_one_by_one():
+    words = ["a", "to", "über", "x" * 300, "1", "日本"]
+    words = [w.encode() for w in words] + [G.END, b"\xff", b"\x00\x00", b"a", b""]
+    hashes, cells = G.marked(words)
+    for word, value, cell in zip(words, hashes.tolist(), cells.tolist()):
+        assert value == xxhash.xxh3_64_intdigest(word)
+        assert cell == zlib.crc32(word[-2:]) % G.CLASSES * G.SLOTS + (value >> 20) % G.SLOTS
+    assert [len(x) for x in G.marked([])] == [0, 0]
+
+
+def test_counting_a_document_does_not_pass_over_the_words_of_its_block(monkeypatch):
+    texts = [" ".join(f"w{20 * k + j}" for j in range(20)).encode() for k in range(600)] + [b"w0"] * 600
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200), pa.int64()), pa.array([k == 1 for k in range(1200)]),
+                                        pa.array(texts, pa.binary())], names=["doc_id", "held", "text"])
+    passed, bincount = [], np.bincount
+    monkeypatch.setattr(G.np, "bincount", lambda x, minlength=0: passed.append(max(len(x), minlength)) or bincount(x, minlength=minlength))
+    monkeypatch.setattr(G.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    rows = [r for part in G._encode([batch], 10 ** 9, 1) for r in part.to_pylist()]
+    assert sum(passed) < 20 * 12_000, "some passes over 12,000 words, not one per document"
+    words = next(r["payload"] for r in rows if r["kind"] == G.WORDS).split(b"\n")
+    packed = next(r["payload"] for r in rows if r["kind"] == G.COUNTS)
+    counts = dict(zip(words, np.frombuffer(packed, "<u4", len(words), 8 * len(words)).tolist()))
+    assert (counts[b"w0"], counts[b"w1"], counts[b"w20"], counts[b"w40"], counts[G.END]) == (601, 1, 0, 1, 1199)
