@@ -48,6 +48,23 @@ def give_back() -> None:
         trim(0)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What ``make`` returns, once per Python process: later tasks of the same operator go on with it."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Drop what tasks of another operator kept: Spark hands its Python workers on from one operator to the next."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
 def rows_in(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, so that one slice of very long texts stays small."""
     for batch in batches:
@@ -147,6 +164,10 @@ def shingle_hashes(values: np.ndarray, size: int) -> np.ndarray:
     return np.unique(run)
 
 
+#: Narrow tables have a file for each so many rows.
+FILE_ROWS = 5_000
+
+
 class Scratch:
     """Tables written below the shared folder, and dropped as soon as no later table reads them.
 
@@ -157,8 +178,12 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        """``most``: how many rows a narrow table can have; it gets no more files than these need.  For the mode of each file
+        Hadoop starts a process, which counts as large as the executor itself until it runs a program of its own."""
         path = scratch_path(self.spark, name)
+        if most is not None:
+            df = df.coalesce(cells(most, FILE_ROWS))
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = (kept, path)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import Scratch, WordTable, attach_by_key, free_name, mixed, rows_in, shingle_hashes, text_bytes
+from salesloom.llm.common import Scratch, WordTable, attach_by_key, free_name, let_go, mixed, rows_in, shingle_hashes, text_bytes
 from salesloom.llm.components import components
 from salesloom.session import staged
 
@@ -85,6 +85,7 @@ def packed(least: np.ndarray) -> np.ndarray:
 
 def sign(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         table, (factor, shift) = WordTable(), _functions()
         for batch in rows_in(batches):
             keys, counts, least = [], [], np.zeros((batch.num_rows, FUNCTIONS), "uint32")
@@ -135,6 +136,7 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_
     """``(rid, set)``: packed sorted shingle hashes of the wanted documents."""
     @F.arrow_udf("binary")
     def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         table = WordTable()
         for texts in batches:
             yield pa.array([shingle_hashes(table.hashes(t.as_py().lower().split()), size).tobytes()
@@ -147,6 +149,7 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_
 def _confirm(percent: int):
     @F.arrow_udf("boolean")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
+        let_go()
         out = []
         for x, y in zip(a, b):
             x, y = np.frombuffer(x.as_buffer(), "uint64"), np.frombuffer(y.as_buffer(), "uint64")
@@ -178,16 +181,19 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
 
     labels = names.select(F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
     for turn in range(PIVOTS):
-        if members.isEmpty():
+        most = members.count()
+        if not most:
             break
-        links = scratch.keep(_links(_pivot_pairs(members), signs, sets, percent), "links")
-        labels = _joined(labels, components(_spokes(links)), scratch)
-        before, members = members, scratch.keep(_next_members(members, labels, turn), "members")
-        scratch.drop(before, links)
+        links = scratch.keep(_links(_pivot_pairs(members), signs, sets, percent), "links", most)
+        edges = scratch.keep(_spokes(links), "spokes", most)
+        labels = _joined(labels, components(edges), scratch)
+        before, members = members, scratch.keep(_next_members(members, labels, turn), "members", most)
+        scratch.drop(before, links, edges)
     if not members.isEmpty():
         links = scratch.keep(_links_of_cells(_families(members, sets, percent, scratch), sets, percent), "links")
-        labels = _joined(labels, components(_between(links, labels)), scratch)
-        scratch.drop(links)
+        edges = scratch.keep(_between(links, labels), "between", links.count())
+        labels = _joined(labels, components(edges), scratch)
+        scratch.drop(links, edges)
     scratch.drop(members, signs, sets)
 
     where = names.join(labels, names["rid"] == labels["node"], "left").select(
@@ -225,7 +231,8 @@ def _joined(labels: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` of the members in ``labels`` and of those new in ``found``, the components of labels."""
     to = found.select(F.col("node").alias("component"), F.col("component").alias("to"))
     known = labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return scratch.keep(known.union(found.join(labels.select("node"), "node", "left_anti").select("node", "component")), "labels")
+    new = found.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    return scratch.keep(known.union(new), "labels", labels.count() + found.count())
 
 
 def _slots(shingles: np.ndarray, family: int) -> np.ndarray:
@@ -270,9 +277,11 @@ def _families(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     """``(bucket, rid, label, short)``: members of open buckets, by family, that share one of their rarest shingles with another
     label; ``short`` where that is one of the few that the smaller set of a pair must share."""
     # buckets of one family mostly have one of its smallest ids, so few different edges remain
+    most = members.count()
     least = members.groupBy("bucket").agg(F.min("rid").alias("b"))
-    family = components(_spokes(members.join(least, "bucket").select(
-        F.col("rid").alias("a"), F.col("rid").alias("label"), F.col("b").alias("pivot_label"))))
+    edges = scratch.keep(_spokes(members.join(least, "bucket").select(
+        F.col("rid").alias("a"), F.col("rid").alias("label"), F.col("b").alias("pivot_label"))), "spokes", most)
+    family = components(edges)
     named = members.select("rid", "label").distinct().join(family.toDF("rid", "family"), "rid")
     rows = scratch.keep(named.join(sets, "rid").select("family", "set", "rid", "label"), "open")
     counts = _counts(rows)
@@ -300,8 +309,8 @@ def _families(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     shared = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("short"))
     shared = shared.filter("lo < hi and short").select("token")
     alive = tokens.join(shared, "token", "left_semi").groupBy("rid").agg(F.bool_or("short").alias("short"))
-    kept = scratch.keep(rows.select(F.col("family").alias("bucket"), "rid", "label").join(alive, "rid"), "alive")
-    scratch.drop(rows, tokens)
+    kept = scratch.keep(rows.select(F.col("family").alias("bucket"), "rid", "label").join(alive, "rid"), "alive", most)
+    scratch.drop(rows, tokens, edges)
     return kept
 
 

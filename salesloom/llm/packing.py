@@ -18,7 +18,6 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import cells, rows_in, table_batch, text_bytes
+from salesloom.llm.common import cells, kept, rows_in, table_batch, text_bytes
 from salesloom.session import staged
 
 CAPACITY = 2048
@@ -42,10 +41,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """The encoder of this Python process; later tasks go on with the words it has met."""
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 class Memory:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesloom.llm.common import cells, free_name, mixed, text_bytes
+from salesloom.llm.common import cells, free_name, let_go, mixed, text_bytes
 
 SIZE = 50
 GRAM = 24
@@ -112,6 +112,7 @@ class Block:
     """Stretches of the documents of one block, documents in the order of their ids."""
 
     def __init__(self, table: pa.Table):
+        let_go()
         ids = table.column("id").to_numpy()
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
@@ -221,6 +222,7 @@ def _dealt(entries: np.ndarray, bucket: np.ndarray, block: int) -> list[tuple[in
 
 def _gathered(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All entries of a bucket and the block of each."""
+    let_go()
     parts, blocks = [np.zeros(0, kind)], [np.zeros(0, "int64")]
     for block, what, payload in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "payload"))):
         if what == ENTRIES:
@@ -366,7 +368,7 @@ FOUND = (T.StructType().add("n_bytes", T.LongType()).add("n_removed", T.LongType
          .add("spans", T.ArrayType(_SPAN)).add("kept", T.BinaryType()))
 
 
-def _finish(table: pa.Table, verdicts: pa.Table) -> pa.Table:
+def _finish(table: pa.Table, verdicts: pa.Table, whole: bool = False) -> pa.Table:
     if not table.num_rows:
         return pa.table({"rest": table.column("rest"), "found": pa.array([], _FOUND)})
     block = Block(table)
@@ -377,15 +379,18 @@ def _finish(table: pa.Table, verdicts: pa.Table) -> pa.Table:
             kept.append(text[at:a])
             at = b
         kept = b"".join([*kept, text[at:]])
-        out.append({"n_bytes": len(text), "n_removed": len(text) - len(kept), "kept": kept,
+        out.append({"n_bytes": len(text), "n_removed": len(text) - len(kept),
+                    "kept": kept.decode("utf-8", "ignore").encode() if whole else kept,
                     "spans": [{"start": a, "size": b - a} for a, b in runs.tolist()]})
     return pa.table({"rest": table.column("rest").take(pa.array(block.order)), "found": pa.array(out, _FOUND)})
 
 
 def find_passages(docs: DataFrame, into: str = "passages", id_col: str = "doc_id", text_col: str = "text",
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
     """``docs`` without the text, with a column of ``FOUND``: bytes, removed bytes, removed stretches, kept bytes.
 
+    ``whole``: of the kept bytes only those of whole characters; they still count as kept.
+
     The texts are shuffled once, by block; the three passes over them read that one shuffle.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -403,7 +408,8 @@ def find_passages(docs: DataFrame, into: str = "passages", id_col: str = "doc_id
     windows = texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_window_entries(buckets), SENT)
     verdicts = windows.groupBy("bucket").applyInArrow(_match_windows, SENT)
     schema = T.StructType().add("rest", texts.schema["rest"].dataType).add("found", FOUND)
-    found = texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_finish, schema)
+    found = texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(
+        lambda table, verdicts: _finish(table, verdicts, whole), schema)
     return found.select("rest.*", F.col("found").alias(into))
 
 
@@ -414,15 +420,10 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one, is the length of what is left.  Texts that lose nothing stay as they are, empty ones too.
     """
     into = free_name(docs, "_passages")
-    found = find_passages(docs, into, id_col, text_col).filter(
-        (F.col(into)["n_removed"] == 0) | (F.octet_length(F.col(into)["kept"]) > 0))
-
-    @F.arrow_udf("string")
-    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([b.as_py().decode("utf-8", "ignore") for b in batch], pa.string())
-
-    found = found.withColumn(text_col, decoded(F.col(into)["kept"]))
+    # characters are mended where passages are cut: a second Python step would keep two more workers on every executor
+    found = find_passages(docs, into, id_col, text_col, whole=True).filter(
+        (F.col(into)["n_removed"] == 0) | (F.col(into)["n_removed"] < F.col(into)["n_bytes"]))
+    found = found.withColumn(text_col, F.col(into)["kept"].cast("string"))
     if length_col in docs.columns:
         cut = F.when(F.col(into)["n_removed"] > 0, F.length(text_col)).otherwise(F.col(length_col))
         found = found.withColumn(length_col, cut.cast(docs.schema[length_col].dataType))

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import WordTable, free_name, text_bytes
+from salesloom.llm.common import WordTable, free_name, let_go, text_bytes
 
 WORD_SLOTS = 1 << 14
 RANK = 8
@@ -142,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = texts.join(F.broadcast(wanted), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
 
     def run(batches):
+        let_go()
         table = WordTable()
         for batch in batches:
             found = [features(t, table) for t in batch.column(1).to_pylist()]
@@ -160,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _scorer(shared: Broadcast):
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         machine, table = shared.value, WordTable()
         for texts in batches:
             out = [np.zeros(0)]

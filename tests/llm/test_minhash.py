@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salesloom.llm import minhash
+from salesloom.llm.common import Scratch
 from salesloom.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -251,3 +252,20 @@ def test_spokes_connect_what_links_connect(spark):
     plain = spark.createDataFrame([x[1:] for x in links], "a long, b long")
     spokes = minhash._spokes(spark.createDataFrame(links, "a long, label long, pivot_label long"))
     assert sorted(components(spokes).collect()) == sorted(components(plain).collect())
+
+
+def test_small_tables_of_components_have_few_files(spark, monkeypatch):
+    files, drop = [], Scratch.drop
+    monkeypatch.setattr(Scratch, "drop", lambda self, *tables: files.extend(len(t.inputFiles()) for t in tables) or drop(self, *tables))
+    edges = spark.range(300).selectExpr("id as a", "id - id % 10 as b")
+    monkeypatch.setattr("salesloom.llm.common.FILE_ROWS", 200)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(before, ("40", "false")):
+            spark.conf.set(c, v)
+        got = {r.node: r.component for r in components(edges).collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == {k: k - k % 10 for k in range(300)}
+    assert files and max(files) <= 3, files

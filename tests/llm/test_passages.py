@@ -6,6 +6,7 @@ import pyarrow.compute as pc
 import pytest
 
 from salesloom.llm import passages
+from salesloom.llm.common import kept
 from salesloom.llm.passages import SIZE
 
 
@@ -134,3 +135,23 @@ def test_query(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op7_passage_dedup(spark, sf).collect()}
     assert got == {d[0]: b for d, b in zip(docs, brute(docs))}
     assert any(g[1] for g in got.values())
+
+
+def test_what_packing_keeps_is_let_go():
+    """Python workers pass from one operator to the next, in a session that runs the pipeline again."""
+    made = kept("encoder", lambda: object())
+    assert kept("encoder", lambda: object()) is made
+    table = pa.table({"id": pa.array([1], pa.int64()), "text": pa.array([b"text"], pa.binary())})
+    passages.Block(table)
+    assert kept("encoder", lambda: object()) is not made
+    passages._gathered(passages._sent([]), passages._ENTRY)
+    assert kept("encoder", lambda: None) is None
+
+
+def test_one_python_step_at_a_time(spark):
+    """Steps of one task run in processes of their own, which the executor then keeps."""
+    docs = spark.createDataFrame([(1, "x" * 60 + "é", 61), (2, "é" + "x" * 60 + "ê", 62)], "doc_id long, text string, n_chars long")
+    done = passages.remove_passages(docs)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroupsInArrow" in plan and "EvalPython" not in plan
+    assert sorted(map(tuple, done.collect())) == [(1, "x" * 60 + "é", 61), (2, "é", 1)], "of the last character one byte is left"
