@@ -1,8 +1,10 @@
 import datetime
+from pathlib import Path
 
 import pytest
 
 from checks.queries import QUERIES
+from salesloom.session import shared_dir
 
 
 @pytest.fixture
@@ -29,3 +31,13 @@ def test_rewritten_files_keep_their_headers(spark, tables):
     got = {r["user_id"]: r for r in QUERIES["upload_quarantine"](spark, tables).collect()}
     assert {u: r["status"] for u, r in got.items() if u < 20} == {u: "stored" for u in [*range(5), *range(10, 15)]}
     assert sum(got[u]["stored_rows"] + got[u]["rejected_rows"] for u in range(5)) == 4000
+
+
+def test_files_with_faults_are_written_once(spark, tables):
+    """4,000 rows as CSV and as JSON, the files of the first owner twice more, with two lines for each of theirs; no other copy."""
+    top = Path(shared_dir(spark).removeprefix("file:")) / "salesloom"
+    before = set(top.glob("*"))
+    QUERIES["upload_quarantine"](spark, tables).collect()
+    made = [f for d in set(top.glob("*")) - before if not d.name.startswith("store-") for f in d.rglob("part-*") if f.suffix in (".csv", ".json", ".txt")]
+    first = 800 + 1
+    assert sum(len(f.read_text().splitlines()) for f in made) == 2 * 4000 + 5 + 4 * first
