@@ -34,10 +34,10 @@ def test_rewritten_files_keep_their_headers(spark, tables):
 
 
 def test_files_with_faults_are_written_once(spark, tables):
-    """4,000 rows as CSV and as JSON, the files of the first owner twice more, with two lines for each of theirs; no other copy."""
+    """4,000 rows as CSV and as JSON, the files of the first owner twice more, with two and three lines for each of theirs; no other copy."""
     top = Path(shared_dir(spark).removeprefix("file:")) / "salesloom"
     before = set(top.glob("*"))
     QUERIES["upload_quarantine"](spark, tables).collect()
     made = [f for d in set(top.glob("*")) - before if not d.name.startswith("store-") for f in d.rglob("part-*") if f.suffix in (".csv", ".json", ".txt")]
     first = 800 + 1
-    assert sum(len(f.read_text().splitlines()) for f in made) == 2 * 4000 + 5 + 4 * first
+    assert sum(len(f.read_text().splitlines()) for f in made) == 2 * 4000 + 5 + (2 + 3) * first
